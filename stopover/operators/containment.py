@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stopover.session import skew_join
 
 # A name is looked up by its first characters, at most this many.
-LEAD_CHARS = 4
+LEAD_CHARS = 8
 
 
 def _grams(text: str, n: int):
@@ -26,12 +26,14 @@ def contains_join(texts: DataFrame, names: DataFrame, key: str, text: str, name:
     split over tasks.
     """
     short = names.select(name).where(F.length(name) >= min_chars).distinct()
-    keyed = short.withColumn("_gram", F.substring(F.col(name), 1, LEAD_CHARS)).withColumn("_len", F.length("_gram"))
-    grams = texts.select(key, text).withColumn(
-        "_gram", F.explode(F.flatten(F.array(*[_grams(text, n) for n in range(1, LEAD_CHARS + 1)])))
-    )
+    keyed = short.withColumn("_gram", F.substring(F.col(name), 1, LEAD_CHARS))
+    # Only the lengths in use, at most LEAD_CHARS of them, are cut out of the texts.
+    lengths = [r[0] for r in keyed.select(F.length("_gram")).distinct().collect()]
+    if not lengths:
+        return texts.select(key).join(short, F.lit(False))
+    grams = texts.select(key, F.explode(F.flatten(F.array(*[_grams(text, n) for n in sorted(lengths)]))).alias("_gram"))
     needed = keyed.select("_gram").distinct()
-    hits = grams.select(key, "_gram").join(needed, "_gram", "left_semi")
+    hits = grams.join(needed, "_gram", "left_semi")
     pairs = skew_join(hits, keyed.select(name, "_gram"), ["_gram"], [key])
     return pairs.join(texts.select(key, text), key).where(F.contains(F.col(text), F.col(name))).select(key, name)
 
