@@ -12,30 +12,25 @@ from pyspark.sql import functions as F
 from stopover.session import cut_lineage
 
 
-def prefix_sum(df: DataFrame, order: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
-    """Running total of ``value`` in ``order``; the order columns must identify a row.
+def prefix_sum(df: DataFrame, order: list[str], value: str | list[str], out: str | list[str]) -> DataFrame:
+    """Running total of one or more value columns in ``order``; the order columns must identify a row.
 
     Rows are range-partitioned on the order, totalled per partition, and each partition's
     running total is shifted by the sum of the partitions before it. Only one row per
     partition is ever sorted in a single task.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values, outs = ([value], [out]) if isinstance(value, str) else (value, out)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut_lineage(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    totals = placed.groupBy("_part").agg(F.sum(value).alias("_total"))
+    totals = placed.groupBy("_part").agg(*[F.sum(v).alias(f"_t{i}") for i, v in enumerate(values)])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
-        "_part",
-        F.coalesce(
-            F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
+        "_part", *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_b{i}") for i in range(len(values))]
     )
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        placed.withColumn("_run", F.sum(value).over(inside))
-        .join(before, "_part")
-        .withColumn(out, F.col("_run") + F.col("_before"))
-        .drop("_part", "_run", "_before")
-    )
+    runs = placed.select("*", *[F.sum(v).over(inside).alias(f"_r{i}") for i, v in enumerate(values)])
+    shifted = runs.join(before, "_part")
+    return shifted.select(*df.columns, *[(F.col(f"_r{i}") + F.col(f"_b{i}")).alias(o) for i, o in enumerate(outs)])
 
 
 def value_counts(df: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -123,9 +118,7 @@ def best_threshold(df: DataFrame, group: list[str], score: str, positive: str) -
         )
     )
     packed = tallies.withColumn("_one", F.lit(1))
-    run = prefix_sum(packed, [*group, score], "q", "_cq")
-    run = prefix_sum(run, [*group, score], "p", "_cp")
-    run = prefix_sum(run, [*group, score], "_one", "_pos")
+    run = prefix_sum(packed, [*group, score], ["q", "p", "_one"], ["_cq", "_cp", "_pos"])
     bounds = run.groupBy(*group).agg(
         F.min(F.col("_cq") - F.col("q")).alias("_bq"),
         F.min(F.col("_cp") - F.col("p")).alias("_bp"),

@@ -112,8 +112,8 @@ def common_threshold(graded: DataFrame) -> DataFrame:
         .groupBy("score")
         .agg(*[F.sum(n).alias(n) for n in ("is_pos", "is_neg", "opens", "closes")])
     )
-    for n in ("is_pos", "is_neg", "opens", "closes"):
-        marks = prefix_sum(marks, ["score"], n, f"c_{n}")
+    kinds = ["is_pos", "is_neg", "opens", "closes"]
+    marks = prefix_sum(marks, ["score"], kinds, [f"c_{n}" for n in kinds])
     totals = used.agg(F.count(F.when(F.col("p"), 1)).alias("pos"), F.count(F.when(F.col("q"), 1)).alias("neg"))
     n_query = per_query.agg(F.count(F.lit(1)).alias("n"))
     rows = marks.where(F.col("is_pos") > 0).join(F.broadcast(totals)).join(F.broadcast(n_query))  # one-row totals

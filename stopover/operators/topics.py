@@ -226,7 +226,8 @@ def _route_v2(r: Router, p: dict) -> list[dict]:
         if s >= p["th_branch"]:
             return [*out, r.put(p, cand[0], "reply")]
         if p["oracle"]:
-            return [*out, r.defer(p, "branch", OFF)]
+            row = r.defer(p, "branch", OFF)
+            return [*out, *_settle(r, row["assign"]), row]
         topic, _, _, new = _by_vector(r, p)
         row = r.put(p, topic, "branch", True)
         if not new:
@@ -401,14 +402,15 @@ def thresholds(diag: DataFrame, by: list[str]) -> DataFrame:
     return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k", "full").drop("_k")
 
 
-def leave_one_out_thresholds(diag: DataFrame, folds: int | None = None) -> DataFrame:
+def leave_one_out_thresholds(diag: DataFrame, convs: DataFrame | None = None, folds: int | None = None) -> DataFrame:
     """Thresholds for each conversation from all others: (conv, th_new, th_branch).
 
+    ``convs`` lists the conversations when some of them may have no diagnostic row.
     Every row serves every fold but its own, so the work is rows times folds. By default each
     conversation is a fold; with very many conversations give a number of folds, and a
     conversation is kept out together with those that share its fold.
     """
-    convs = diag.select("conv").distinct().withColumn("_one", F.lit(1))
+    convs = (diag if convs is None else convs).select("conv").distinct().withColumn("_one", F.lit(1))
     if folds is None:
         numbered = prefix_sum(convs, ["conv"], "_one", "_n").select("conv", (F.col("_n") - 1).cast("int").alias("fold"))
         n = F.max("fold") + 1
@@ -600,6 +602,7 @@ def request_rows(posts: DataFrame, assigned: DataFrame, chunk: int, mode: str =
 
     Full mode shows all earlier posts with their topic, narrow mode the last three per topic.
     """
+    posts = posts.select("conv", "seq", "post_id", "author", "reply_to", "text")
     new = posts.where((F.floor(F.col("seq") / CHUNK) + 1) == chunk)
     done = posts.where(F.col("seq") < (chunk - 1) * CHUNK).join(assigned, ["conv", "post_id"])
     if mode == "narrow":

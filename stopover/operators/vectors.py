@@ -132,6 +132,8 @@ def _blocked(items: DataFrame, queries: DataFrame, block_scores, schema: str) ->
     """Item blocks against query blocks; every (item block, query block) cell is one bounded task."""
     n_items, n_queries = items.count(), queries.count()
     ib, qb = -(-n_items // CORPUS_BLOCK) or 1, -(-n_queries // QUERY_BLOCK) or 1
+    # Aliases keep the two sides apart when items and queries come from one table.
+    items = items.select(F.col("id").alias("id"), F.col("vec").alias("vec"))
     left = items.withColumn("ib", F.pmod(F.xxhash64("id"), F.lit(ib)).cast("int")).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))
     )
@@ -372,7 +374,7 @@ def knn_within(
             .withColumn("_task", task)
             .withColumn(mine, F.pmod(F.xxhash64(key), F.col("_nb").cast("long")).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-            .select(group, key, "embedding", "_o", "_task", "_ib", "_qb")
+            .select(*[F.col(c).alias(c) for c in (group, key, "embedding", "_o", "_task", "_ib", "_qb")])
         )
 
     left = place(it, "id", "_ib", "_qb")
