@@ -50,7 +50,7 @@ def segments(line: Column) -> Column:
     """``array<struct<a,b>>`` of the consecutive segments of a line."""
     n = F.greatest(F.size(line) - 1, F.lit(0))
     return F.zip_with(
-        F.slice(line, F.lit(1), n), F.slice(line, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+        F.slice(line, F.lit(1), n), F.slice(line, F.lit(2), n), lambda a, b: F.named_struct(F.lit("a"), a, F.lit("b"), b)
     )
 
 
@@ -86,20 +86,17 @@ def interpolate_at(line: Column, fraction: float | Column, seg_len) -> Column:
     segs = segments(line)
     total = F.aggregate(segs, F.lit(0.0), lambda acc, s: acc + seg_len(s))
     share = fraction if isinstance(fraction, Column) else F.lit(float(fraction))
-    init = F.struct(
-        (total * share).alias("left"),
-        F.element_at(line, 1)["lon"].alias("lon"),
-        F.element_at(line, 1)["lat"].alias("lat"),
-    )
+    first = F.element_at(line, 1)
+    init = F.named_struct(F.lit("left"), total * share, F.lit("lon"), first["lon"], F.lit("lat"), first["lat"])
 
     def step(acc: Column, s: Column) -> Column:
         length = seg_len(s)
         t = F.when(length > 0, F.least(F.lit(1.0), acc["left"] / length)).otherwise(F.lit(0.0))
         moved = acc["left"] > 0
-        return F.struct(
-            F.greatest(F.lit(0.0), acc["left"] - length).alias("left"),
-            F.when(moved, s["a"]["lon"] + (s["b"]["lon"] - s["a"]["lon"]) * t).otherwise(acc["lon"]).alias("lon"),
-            F.when(moved, s["a"]["lat"] + (s["b"]["lat"] - s["a"]["lat"]) * t).otherwise(acc["lat"]).alias("lat"),
+        return F.named_struct(
+            F.lit("left"), F.greatest(F.lit(0.0), acc["left"] - length),
+            F.lit("lon"), F.when(moved, s["a"]["lon"] + (s["b"]["lon"] - s["a"]["lon"]) * t).otherwise(acc["lon"]),
+            F.lit("lat"), F.when(moved, s["a"]["lat"] + (s["b"]["lat"] - s["a"]["lat"]) * t).otherwise(acc["lat"]),
         )
 
     end = F.aggregate(segs, init, step)
@@ -193,7 +190,7 @@ def segment_cross(a: Column, b: Column, c: Column, d: Column) -> Column:
     t = (qx * sy - qy * sx) / den
     u = (qx * ry - qy * rx) / den
     hit = (den != 0) & t.between(0.0, 1.0) & u.between(0.0, 1.0)
-    return F.when(hit, F.struct((a["lon"] + t * rx).alias("lon"), (a["lat"] + t * ry).alias("lat")))
+    return F.when(hit, F.named_struct(F.lit("lon"), a["lon"] + t * rx, F.lit("lat"), a["lat"] + t * ry))
 
 
 def cell(lon: Column, lat: Column, size_deg_lon: float, size_deg_lat: float) -> tuple[Column, Column]:

@@ -73,7 +73,7 @@ def with_group(places: DataFrame) -> DataFrame:
 def match_by_tag(places: DataFrame, areas: DataFrame) -> DataFrame:
     """Largest area that carries the place's id among its ``;``-separated tags: (spot_id, area_idx)."""
     tags = areas.where("wikidata <> ''").select(
-        "area_idx", "area_m2", F.explode(F.transform(F.split("wikidata", ";"), F.trim)).alias("ext_id")
+        "area_idx", "area_m2", F.explode(F.split(F.trim("wikidata"), r"\s*;\s*")).alias("ext_id")
     )
     hits = places.where("source = 'wikidata'").select("spot_id", "ext_id").join(tags, "ext_id")
     return hits.groupBy("spot_id").agg(F.min_by("area_idx", F.struct(-F.col("area_m2"), "area_idx")).alias("area_idx"))
