@@ -12,8 +12,8 @@ from stopover.session import HOT_KEY_ROWS, cut_lineage
 ADJACENCY_CHUNK = 1_000
 # Relaxations planned between two lineage cuts.
 HOPS_PER_CUT = 8
-# Largest adjacency, in arcs, that is sent to every task; about 16 bytes each in the hash table.
-BROADCAST_ARCS = 2_000_000
+# Largest adjacency, in arcs, that is sent to every task; about 40 bytes each in the hash table.
+BROADCAST_ARCS = 6_000_000
 
 
 class StationNotFound(ValueError):
@@ -24,14 +24,13 @@ class AmbiguousStation(ValueError):
     pass
 
 
-def adjacency(arcs: DataFrame, max_cost: int | None = None) -> DataFrame:
+def adjacency(arcs: DataFrame) -> DataFrame:
     """Arcs packed per source: (node, out) with ``out`` an array of (target, cost).
 
     Of parallel arcs the cheapest stays. A node of very many arcs is spread over rows of about
     ``ADJACENCY_CHUNK`` arcs, so no row and no task holds a hub's whole neighbourhood.
     """
-    usable = arcs if max_cost is None else arcs.where(F.col("cost") <= max_cost)
-    cheapest = usable.groupBy("source", "target").agg(F.min("cost").alias("cost"))
+    cheapest = arcs.groupBy("source", "target").agg(F.min("cost").alias("cost"))
     degree = cheapest.groupBy("source").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > ADJACENCY_CHUNK)
     chunk = F.coalesce(
         F.pmod(F.xxhash64("target"), F.ceil(F.col("_d") / F.lit(ADJACENCY_CHUNK)).cast("long")), F.lit(0).cast("long")
@@ -44,17 +43,17 @@ def adjacency(arcs: DataFrame, max_cost: int | None = None) -> DataFrame:
     )
 
 
-def _ready(adj: DataFrame) -> DataFrame:
-    """Adjacency laid out for many rounds, computed once.
+def prepare(arcs: DataFrame) -> DataFrame:
+    """Adjacency of a graph laid out for many searches; build it once per network.
 
     A counted, small graph is broadcast, so a round shuffles its offers only; one broadcast
     serves all rounds planned together. A larger one is hash-partitioned and sorted by node
     and kept on the executors, so a round moves the state but never the graph.
     """
-    n = int(adj.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = cut_lineage(adj.repartition(n, "node").sortWithinPartitions("node"))
-    arcs = kept.agg(F.sum(F.size("out"))).first()[0] or 0
-    return F.broadcast(kept) if arcs <= BROADCAST_ARCS else kept.persist()
+    n = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = cut_lineage(adjacency(arcs).repartition(n, "node").sortWithinPartitions("node"))
+    held = kept.agg(F.sum(F.size("out"))).first()[0] or 0
+    return F.broadcast(kept) if held <= BROADCAST_ARCS else kept.persist()
 
 
 def _relax(state: DataFrame, adj: DataFrame, cap: int | None) -> DataFrame:
@@ -74,16 +73,17 @@ def _relax(state: DataFrame, adj: DataFrame, cap: int | None) -> DataFrame:
 
 
 def shortest_costs(
-    arcs: DataFrame, seeds: DataFrame, cap: int | None, hops: int = HOPS_PER_CUT, sink: DataFrame | None = None
+    arcs: DataFrame, seeds: DataFrame, cap: int | None, hops: int = HOPS_PER_CUT, sink: DataFrame | None = None,
+    adj: DataFrame | None = None,
 ) -> DataFrame:
     """Bounded multi-source shortest path: (origin, node, cost) with cost at most ``cap``.
 
     ``seeds``: (origin, node, cost) starting rows; every origin is searched in the same
     rounds, and several seeds of one origin act as one virtual source. ``sink`` (origin,
     node) names goals: once an origin reaches one, costs beyond its best arrival are not
-    explored.
+    explored. ``adj`` is the graph as :func:`prepare` leaves it, for searches that share one.
     """
-    adj = _ready(adjacency(arcs, cap))
+    adj = prepare(arcs) if adj is None else adj
     state = seeds.groupBy("origin", "node").agg(F.min(F.col("cost").cast("long")).alias("cost")).withColumn(
         "fresh", F.lit(True)
     )
@@ -100,14 +100,16 @@ def shortest_costs(
             return state.select("origin", "node", "cost")
 
 
-def shortest_route(arcs: DataFrame, starts: DataFrame, goals: DataFrame, cap: int | None = None) -> DataFrame:
+def shortest_route(
+    arcs: DataFrame, starts: DataFrame, goals: DataFrame, cap: int | None = None, adj: DataFrame | None = None
+) -> DataFrame:
     """Nodes of one shortest path from any start to the cheapest goal: (step, node, cost).
 
     ``starts`` and ``goals``: (node). Step 0 is the start. Ties are settled by the smaller
     predecessor key. An unreachable goal gives no rows.
     """
     seeds = starts.select(F.lit("from").alias("origin"), "node", F.lit(0).cast("long").alias("cost"))
-    cost = shortest_costs(arcs, seeds, cap, sink=goals.select(F.lit("from").alias("origin"), "node")).select("node", "cost")
+    cost = shortest_costs(arcs, seeds, cap, sink=goals.select(F.lit("from").alias("origin"), "node"), adj=adj).select("node", "cost")
     end = (
         cost.join(goals.select("node"), "node", "left_semi").orderBy("cost", "node").limit(1)
     )

@@ -30,11 +30,15 @@ SNAP_CAP_M = 300.0
 
 @dataclass
 class Network:
-    """Tables of a built rail network; ``arcs`` are directed (source, target, cost) in milli-minutes."""
+    """Tables of a built rail network; ``arcs`` are directed (source, target, cost) in milli-minutes.
+
+    ``adj`` is the adjacency prepared for searches; without it each search prepares its own.
+    """
 
     lines: DataFrame
     stations: DataFrame
     arcs: DataFrame
+    adj: DataFrame | None = None
 
 
 # ------------------------------------------------------------------ rail
@@ -210,7 +214,7 @@ def both_ways(edges: DataFrame, cost: Column) -> DataFrame:
 
 def build_network(station_lines: DataFrame, sections: DataFrame, speed_overrides: DataFrame | None = None) -> Network:
     """Lines, stations and routing arcs of a rail network."""
-    from stopover.operators.graph import resolve_overrides
+    from stopover.operators.graph import prepare, resolve_overrides
 
     lines = cut_lineage(build_lines(sections))
     stations = cut_lineage(build_stations(station_lines, sections))
@@ -219,8 +223,8 @@ def build_network(station_lines: DataFrame, sections: DataFrame, speed_overrides
     if speed_overrides is not None:
         chosen = resolve_overrides(speed_overrides, lines, stations, edges)[0]
     timed = edge_minutes(edges, lines, chosen)
-    arcs = both_ways(timed, milli(F.col("minutes"))).unionByName(transfer_arcs(stations))
-    return Network(lines, stations, arcs)
+    arcs = cut_lineage(both_ways(timed, milli(F.col("minutes"))).unionByName(transfer_arcs(stations)))
+    return Network(lines, stations, arcs, prepare(arcs))
 
 
 # ------------------------------------------------------------------ walking

@@ -73,18 +73,18 @@ def with_group(places: DataFrame) -> DataFrame:
 def match_by_tag(places: DataFrame, areas: DataFrame) -> DataFrame:
     """Largest area that carries the place's id among its ``;``-separated tags: (spot_id, area_idx)."""
     tags = areas.where("wikidata <> ''").select(
-        "area_idx", "area_m2", F.explode(F.split(F.trim("wikidata"), r"\s*;\s*")).alias("ext_id")
+        "area_idx", "osm_type", "osm_id", "area_m2", F.explode(F.split(F.trim("wikidata"), r"\s*;\s*")).alias("ext_id")
     )
     hits = places.where("source = 'wikidata'").select("spot_id", "ext_id").join(tags, "ext_id")
-    return hits.groupBy("spot_id").agg(F.min_by("area_idx", F.struct(-F.col("area_m2"), "area_idx")).alias("area_idx"))
+    return hits.groupBy("spot_id").agg(F.min_by("area_idx", F.struct(-F.col("area_m2"), "osm_type", "osm_id")).alias("area_idx"))
 
 
 def match_by_position(places: DataFrame, areas: DataFrame, deg: float = 0.01) -> DataFrame:
     """Smallest named area of a suitable kind that contains the place: (spot_id, area_idx)."""
-    named = areas.where("kind <> '' and name <> ''").select("area_idx", "kind", "area_m2", "rings")
+    named = areas.where("kind <> '' and name <> ''").select("area_idx", "osm_type", "osm_id", "kind", "area_m2", "rings")
     inside = points_in_areas(places.select("spot_id", "group", "lon", "lat"), named, "spot_id", "area_idx", deg=deg)
     fit = inside.where(R.kind_allowed(F.col("group"), F.col("kind")))
-    return fit.groupBy("spot_id").agg(F.min_by("area_idx", F.struct("area_m2", "area_idx")).alias("area_idx"))
+    return fit.groupBy("spot_id").agg(F.min_by("area_idx", F.struct("area_m2", "osm_type", "osm_id")).alias("area_idx"))
 
 
 def match_area(places: DataFrame, areas: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def _seeds(net: Network, groups: dict[str, DataFrame]) -> DataFrame:
 
 def _platforms(net: Network, groups: dict[str, DataFrame], cap_min: float) -> DataFrame:
     """Stations with one cost column per origin; a single search serves all origins."""
-    costs = shortest_costs(net.arcs, _seeds(net, groups), to_milli(max(cap_min, 0)))
+    costs = shortest_costs(net.arcs, _seeds(net, groups), to_milli(max(cap_min, 0)), adj=net.adj)
     per = platform_costs(net.stations, costs).groupBy("station_code").agg(
         *[F.min(F.when(F.col("origin") == o, F.col("cost"))).alias(f"c_{o}") for o in groups]
     )
@@ -247,7 +247,7 @@ def detour_route(net: Network, start: str, end: str, wait: float = WAIT_MIN) ->
     """Groups on the shortest path in order; the wait is added except at the start."""
     a = group_nodes(net.stations, resolve_station(net.stations, start, SPREAD_M))
     b = group_nodes(net.stations, resolve_station(net.stations, end, SPREAD_M))
-    path = shortest_route(net.arcs, a, b)
+    path = shortest_route(net.arcs, a, b, adj=net.adj)
     ends = net.stations.withColumn("node", F.explode(F.array_distinct(F.array("node_a", "node_b"))))
     on = ends.join(path, "node").groupBy("group_code").agg(
         F.min("station_name").alias("station_name"), F.min("cost").alias("t"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat")

@@ -84,7 +84,9 @@ def suggest_interest_first(
 # ------------------------------------------------------------------ walking
 
 
-def station_place_walks(arcs: DataFrame, station_access: DataFrame, place_access: DataFrame, max_min: float = MAX_WALK_MIN) -> DataFrame:
+def station_place_walks(
+    arcs: DataFrame, station_access: DataFrame, place_access: DataFrame, max_min: float = MAX_WALK_MIN, adj: DataFrame | None = None
+) -> DataFrame:
     """Walking minutes of every station and place within the limit: (group_code, spot_id, walk_min).
 
     ``station_access``: (group_code, node_id, access_m); ``place_access``: (spot_id, node_id,
@@ -95,7 +97,7 @@ def station_place_walks(arcs: DataFrame, station_access: DataFrame, place_access
     seeds = station_access.select(
         F.col("group_code").alias("origin"), F.col("node_id").alias("node"), milli(walk_minutes(F.col("access_m"))).alias("cost")
     )
-    costs = shortest_costs(arcs, seeds.where(F.col("cost") <= cap), cap)
+    costs = shortest_costs(arcs, seeds.where(F.col("cost") <= cap), cap, adj=adj)
     total = F.col("cost") + milli(walk_minutes(F.col("access_m")))
     return (
         costs.join(place_access.select("spot_id", F.col("node_id").alias("node"), "access_m"), "node")

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopover.functions.text import ngram_vector
-from stopover.functions.vectors import cosine_similarity
 from stopover.operators.containment import contains_join
 from stopover.session import skew_join
 
@@ -205,19 +204,18 @@ def knn_approx(
 ) -> DataFrame:
     """Inverted-file search: candidates share one of the query's ``probes`` cells, then exact re-rank.
 
-    A cell that holds far more items than others is split over several tasks by
-    :func:`skew_join`; no cell is capped.
+    A cell that holds far more items than others is cut into blocks by :func:`knn_within`;
+    no cell is capped.
     """
     it = items.select(F.col(item_id).alias("id"), F.col(vector).alias("embedding"))
     q = queries.select(F.col(query_id).alias("qid"), F.col(vector).alias("embedding"))
     item_cells = assign_cells(it, "id", "embedding", centres, 1).join(it, "id")
-    query_cells = assign_cells(q, "qid", "embedding", centres, probes).join(
-        q.withColumnRenamed("embedding", "qvec"), "qid"
+    query_cells = assign_cells(q, "qid", "embedding", centres, probes).join(q, "qid")
+    near = knn_within(item_cells, query_cells, "cell", k, exclude_self=False)
+    best = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "id")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+        "qid", "rank", "id", (F.lit(1.0) - F.col("score")).alias("dist")
     )
-    cand = skew_join(item_cells, query_cells, ["cell"], ["id"])
-    scored = cand.select("qid", "id", (F.lit(1.0) - cosine_similarity(F.col("embedding"), F.col("qvec"))).alias("dist"))
-    best = Window.partitionBy("qid").orderBy(F.round("dist", 12), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
 
 
 # ------------------------------------------------------------------ item search

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stopover.functions.geo import LINE
+from stopover.operators.graph import prepare
 from stopover.operators.network import (
     Network,
     build_network,
@@ -121,8 +122,7 @@ def _memo(spark: SparkSession, name: str, sf_dir: str, make):
 def rail_network(spark: SparkSession, sf_dir: str) -> Network:
     def make() -> Network:
         station_lines, sections = (cut_lineage(f) for f in rail_features(spark, sf_dir))
-        net = build_network(station_lines, sections)
-        return Network(net.lines, net.stations, cut_lineage(net.arcs))
+        return build_network(station_lines, sections)
 
     return _memo(spark, "rail", sf_dir, make)
 
@@ -196,7 +196,9 @@ def walk_table(spark: SparkSession, sf_dir: str, max_min: float) -> DataFrame:
 
     _, edges = walk_network(spark, sf_dir)
     stations, spots = walk_access(spark, sf_dir)
-    return station_place_walks(walk_arcs(edges), stations, spots, max_min)
+    arcs = walk_arcs(edges)
+    adj = _memo(spark, "walk_adj", sf_dir, lambda: prepare(arcs))
+    return station_place_walks(arcs, stations, spots, max_min, adj)
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,12 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 HOT_KEY_ROWS = 500_000
 
 
+def adaptive_skew(spark: SparkSession) -> bool:
+    """Whether Spark itself splits oversized join partitions at run time."""
+    on = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(spark.conf.get(c, "true") == "true" for c in on)
+
+
 def get_spark(app: str = "stopover", cores: str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """Local session with the settings the operators assume (AQE, skew joins, UTC).
 
@@ -65,15 +71,21 @@ def skew_join(
     keys: list[str],
     spread: list[str | Column],
     how: str = "inner",
-    hot_rows: int = HOT_KEY_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join whose hot keys on the left are split over several tasks.
 
-    Keys with more than ``hot_rows`` left rows get ``ceil(rows / hot_rows)`` salts. A left
+    With adaptive skew joins on, Spark measures the shuffled partitions and splits the big
+    ones, so the plain join is enough and no counting pass is needed. Otherwise, or when
+    ``hot_rows`` is given, hot keys are salted here: keys with more than ``hot_rows`` left rows get ``ceil(rows / hot_rows)`` salts. A left
     row picks one salt from the hash of ``spread``; the matching right rows are repeated
     once per salt, so every pair still meets exactly once. ``how`` may be inner, left,
     left_semi or left_anti.
     """
+    if hot_rows is None:
+        if adaptive_skew(left.sparkSession):
+            return left.join(right, keys, how)
+        hot_rows = HOT_KEY_ROWS
     hot = (
         left.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
