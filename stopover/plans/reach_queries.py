@@ -396,7 +396,18 @@ def _(spark, sf):
     return suggest.near_but_far(pairs, 400, 8).withColumn("far_share", F.round("far_share", 9))
 
 
-@query("suggest_walk")
+_WALK_SUGGEST = _REACHABLE.replace(S.RAIL, S.WALK_ACCESS) + "," + _walk_sql(suggest.MAX_WALK_MIN).split(S.WALK_ACCESS, 1)[1].lstrip(", ") + f""", {S.INTEREST},
+direct as (select min(t1_min + t2_min) as t from reachable_all),
+wok as (select g.*, spot_id, walk_min, slack_min - 2*greatest(0.0::double, walk_min - 10) as slack_left from reachable_all g join walk using (group_code)
+        where walk_min <= least(25.0::double, 10 + slack_min/2)),
+wbest as (select * from (select *, row_number() over (partition by spot_id order by round(t1_min + t2_min + 2*walk_min, 6), walk_min, group_code) as rn from wok) where rn = 1)
+select s.spot_id, s.source, s.name, s.kinds, b.group_code, b.station_name, round({S.hav('s.lon', 's.lat', 'b.lon', 'b.lat')}) as dist_m,
+  b.t1_min::double as t1_min, b.t2_min::double as t2_min, round(b.slack_left) as slack_min,
+  round(round(b.t1_min + b.t2_min - (select t from direct) + 2*b.walk_min, 6)) as detour_min, round(sim, 6) as sim, round(b.walk_min, 1) as walk_min
+from wbest b join spot s using (spot_id) join sims using (spot_id)"""
+
+
+@query("suggest_walk", _WALK_SUGGEST)
 def _(spark, sf):
     walks = D.cut_lineage(D.walk_table(spark, sf, suggest.MAX_WALK_MIN))
     out = suggest.suggest_walk(
