@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopover.llm import decontaminate, language, licenses, packing, quality, urls, warc
+from stopover.llm import decontaminate, language, licenses, minhash, packing, quality, urls, warc
 from stopover.llm.common import table
 
 BASE_RULES = [
@@ -47,6 +47,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
+    "op8_minhash": op8_minhash,
     "op9_language": op9_language,
     "op10_urls": op10_urls,
 }

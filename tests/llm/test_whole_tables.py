@@ -74,6 +74,11 @@ def test_op7(spark, sf, docs):
     assert any(r[2] for r in got)
 
 
+def test_op8(spark, sf, docs):
+    got = rows(queries.op8_minhash(spark, sf), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == sorted(brute.near_groups(docs))
+
+
 def test_op9(spark, sf):
     lang = {r.doc_id: r.lang for r in table(spark, sf, "documents").collect()}
     got = queries.op9_language(spark, sf).collect()
