@@ -34,9 +34,10 @@ def settle(df: DataFrame) -> DataFrame:
     The JVM is asked to collect, so that Spark's cleaner drops the shuffle files of plans
     that nothing refers to any more instead of keeping them to the end of the job.
     """
-    out = cut_lineage(df)
+    out, context = cut_lineage(df), df.sparkSession.sparkContext
+    del df
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    context._jvm.System.gc()
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopover.llm import decontaminate, language, licenses, minhash, packing, quality, urls, warc
+from stopover.llm import decontaminate, language, licenses, minhash, packing, passages, quality, urls, warc
 from stopover.llm.common import table
 
 BASE_RULES = [
@@ -38,6 +38,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.templates(spark))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.drop_repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -67,6 +71,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
     "op3_licenses": op3_licenses,
+    "op4_passages": op4_passages,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op8_minhash": op8_minhash,

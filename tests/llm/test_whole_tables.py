@@ -62,6 +62,12 @@ def test_op3(spark, sf, docs):
     assert got == sorted((d, *brute.licenses(t)) for d, t in docs)
 
 
+def test_op4(spark, sf, docs):
+    got = rows(queries.op4_passages(spark, sf), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.passages(docs))
+    assert any(r[2] for r in got)
+
+
 def test_op6(spark, sf, docs):
     got = rows(queries.op6_quality(spark, sf), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == sorted((d, *brute.quality(t)) for d, t in docs)
