@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,10 @@ BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 # Bytes of text that one numpy step looks at; a longer text is a step of its own.
 STEP_BYTES = 2_000_000
 
+# The driver's garbage is collected after a checkpoint, if the last time is so many seconds ago.
+COLLECT_EVERY_S = 8
+_collected = [0.0]
+
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 
@@ -36,8 +41,10 @@ def settle(df: DataFrame) -> DataFrame:
     """
     out, context = cut_lineage(df), df.sparkSession.sparkContext
     del df
-    gc.collect()
-    context._jvm.System.gc()
+    if time.monotonic() - _collected[0] > COLLECT_EVERY_S:
+        gc.collect()
+        context._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return out
 
 

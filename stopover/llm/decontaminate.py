@@ -106,7 +106,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, part: int = 20) ->
 
     Null texts have no words; null item ids count as no item; items repeated under one id count once; rows of ``documents``
     that share a doc_id with different texts are told apart by their text, rows repeated in full give equal rows. Other
-    columns are ignored. ``contaminated``: some word is hit and at least one in ``part`` is.
+    columns are ignored. ``text_key`` is the hash of the text. ``contaminated``: some word is hit and at least one in ``part`` is.
     """
     hits = settle(
         contained_windows(documents, benchmark).groupBy("doc_id", "_key")
@@ -119,7 +119,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, part: int = 20) ->
         F.size(words(lower_ascii(F.col("text")), BREAKS)).cast("long").alias("n_words"),
     )
     return skew_join(rows, hits, ["_id", "_null", "_key"], [F.col("n_words")], "left").select(
-        "doc_id", "n_words", F.coalesce("_hit", F.lit(0)).cast("long").alias("n_hit"),
+        "doc_id", F.col("_key").alias("text_key"), "n_words", F.coalesce("_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("_items", F.array().cast("array<string>")), ",").cast("binary"), 256).alias("items_sha256"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(part) * F.col("n_hit") >= F.col("n_words")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopover.llm import decontaminate, language, licenses, minhash, packing, passages, quality, urls, warc
+from stopover.llm import decontaminate, language, licenses, minhash, packing, passages, quality, suffixes, urls, warc
 from stopover.llm.common import table
 
 BASE_RULES = [
@@ -42,13 +42,19 @@ def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.drop_repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffixes.drop_repeated_strings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    judged = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.drop("text_key")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +78,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_licenses": op3_licenses,
     "op4_passages": op4_passages,
+    "op5_suffixes": op5_suffixes,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op8_minhash": op8_minhash,

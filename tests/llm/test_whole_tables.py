@@ -68,6 +68,12 @@ def test_op4(spark, sf, docs):
     assert any(r[2] for r in got)
 
 
+def test_op5(spark, sf, docs):
+    got = rows(queries.op5_suffixes(spark, sf), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute.substrings(docs))
+    assert any(r[2] for r in got)
+
+
 def test_op6(spark, sf, docs):
     got = rows(queries.op6_quality(spark, sf), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == sorted((d, *brute.quality(t)) for d, t in docs)
