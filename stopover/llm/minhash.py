@@ -16,6 +16,10 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4  # two sets of similarity 0.75 share no band once in 200,000 times
 SIMILAR = (75, 100)
 SMALL_BUCKET = 32
+# Members of a bucket that all others are compared with in one round. Once no more pairs than PAIRS_PER_CLASS for each class
+# are left between different components of a bucket, all of them are compared; both only order the work.
+PIVOTS = 3
+PAIRS_PER_CLASS = 4
 
 _SIGMA, _PI1, _PI2 = U(0x5851F42D4C957F2D), U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 
@@ -111,22 +115,37 @@ def _close(a: str, b: str) -> Column:
     return SIMILAR[1] * F.least(a, b) >= SIMILAR[0] * F.greatest(a, b)
 
 
-def _verify(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+def _full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set) of the given documents."""
+    texts = documents.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return settle(texts.mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"]))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = documents.join(ids, "doc_id", "left_semi")
-    sets = settle(texts.mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"]))
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     both = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(SIMILAR[1] * shared >= SIMILAR[0] * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def _open_buckets(bands: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Rows of the buckets in which more than one component is left, with their component."""
-    rows = bands if label is None else bands.drop("comp").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = settle(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-    return settle(skew_join(rows, mixed, ["key"], [F.col("id")], "left_semi"))
+def _open_buckets(bands: DataFrame, label: DataFrame | None) -> tuple[DataFrame, int]:
+    """Rows of the buckets in which more than one component is left, with their component; pairs of components' members."""
+    rows = bands
+    if label is not None:
+        rows = skew_join(bands.drop("comp"), label, ["id"], [F.col("key")], "left").withColumn("comp", F.coalesce("comp", "id"))
+    counted = rows.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("kinds"), F.sum("m").alias("m"), F.sum(F.col("m") ** 2).alias("sq"))
+    mixed = settle(counted.where("kinds > 1").select("key", ((F.col("m") ** 2 - F.col("sq")) / 2).alias("pairs")))
+    total = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+    return settle(skew_join(rows, mixed.select("key"), ["key"], [F.col("id")], "left_semi")), int(total)
+
+
+def _pivots(rows: DataFrame, turn: int) -> DataFrame:
+    """Up to PIVOTS members (b) of every bucket, by as many random orders that all buckets share."""
+    picks = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PIVOTS + i)), F.col("id").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))) for i in range(PIVOTS)]
+    chosen = rows.groupBy("key").agg(*[p.alias(f"p{i}") for i, p in enumerate(picks)])
+    each = F.array(*[F.struct(f"p{i}.b", f"p{i}.n2", f"p{i}.comp2") for i in range(PIVOTS)])
+    return settle(chosen.select("key", F.inline(F.array_distinct(each))))
 
 
 def _cross_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
@@ -150,9 +169,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of ``documents``.
 
     Texts with the same set are one class, known by its smallest id. Classes that share a band key meet in buckets. No bucket
-    is expanded into pairs while its members can still be joined through one of them: each round compares every member with
-    one member of its bucket, drops that one, and goes on with the buckets that still hold several components; when a round
-    joins nothing more, the pairs between different components that are left are compared as well. Links are confirmed on full
+    is expanded into pairs while its members can still be joined through a few of them: each round compares every member with
+    PIVOTS members of its bucket, drops these, and goes on with the buckets that still hold several components; when few pairs
+    between different components are left, or a round joins nothing more, those pairs are all compared. Links are confirmed on full
     sets of 64-bit shingle hashes. Null and wordless texts and rows without an id are linked with nothing (component: their
     own id). Rows sharing a doc_id are judged by their own text. An empty table gives an empty result.
     """
@@ -161,27 +180,30 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     named = docs.where("n_shingles > 0 and doc_id is not null")
     reps = settle(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     bands = reps.select(F.explode("bands").alias("key"), "id", "n", F.col("id").alias("comp"))
-    open_rows = _open_buckets(bands, None)
+    classes = reps.count()
+    open_rows, left = _open_buckets(bands, None)
+    sets = _full_sets(rows, open_rows.select("id").distinct())
     links = label = None
-    exhaustive = False
-    while not open_rows.isEmpty():
-        if exhaustive:
-            pairs = settle(_cross_pairs(open_rows, reps))
+    turn, merged = 0, True
+    while left:
+        last = left <= PAIRS_PER_CLASS * classes or not merged
+        if last:
+            pairs = _cross_pairs(open_rows, reps)
         else:
-            pivot = settle(open_rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id"), "id", "n", "comp")).alias("p")).select(
-                "key", F.col("p.id").alias("b"), F.col("p.n").alias("n2"), F.col("p.comp").alias("comp2")))
+            pivot = _pivots(open_rows, turn)
             met = skew_join(open_rows, pivot, ["key"], [F.col("id")])
-            pairs = settle(met.where("comp <> comp2").where(_close("n", "n2")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
-            open_rows = skew_join(open_rows, pivot.select("key", F.col("b").alias("_b")), ["key"], [F.col("id")]).where("id <> _b").drop("_b")
-        new = settle(_verify(pairs, rows))
-        found = not new.isEmpty()
-        if found:
-            links = new if links is None else links.union(new)
+            pairs = met.where("comp <> comp2").where(_close("n", "n2")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+            gone = pivot.select("key", F.col("b").alias("id"))
+            open_rows = open_rows.join(gone, ["key", "id"], "left_anti")
+        new = settle(_verify(settle(pairs), sets))
+        merged = not new.isEmpty()
+        if merged:
+            links = new if links is None else settle(links.union(new))
             label = components(links)
-        if exhaustive:
+        if last:
             break
-        exhaustive = not found
-        open_rows = _open_buckets(open_rows, label)
+        turn += 1
+        open_rows, left = _open_buckets(open_rows, label)
     group = reps.select("s1", "s2", "id")
     if label is not None:
         group = group.join(label, "id", "left").select("s1", "s2", F.coalesce("comp", "id").alias("component_id"))
