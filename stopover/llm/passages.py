@@ -14,8 +14,8 @@ from stopover.llm.common import U, buffer_of, mix, run_hashes, settle, steps, wo
 from stopover.session import skew_join
 
 WINDOW = 13
-# Every window holds eight runs of six words; the one with the smallest hash is its anchor.
-ANCHOR = 6
+# Every window holds six runs of eight words; the one with the smallest hash is its anchor.
+ANCHOR = 8
 NO_ID = (1 << 63) - 1  # a null doc_id counts as larger than any
 WHOLE = (1 << 31) - 1
 
@@ -134,7 +134,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     paths = settle(_paths(first))
     on_path = skew_join(edges.select("e", "doc", "pos"), paths, ["e"], [F.col("doc")]).where("doc > sdoc")
     on_path = on_path.withColumn("shift", F.col("pos") - F.col("spos"))
-    run = Window.partitionBy("doc", "sdoc", "path", "shift").orderBy("pos")
+    run = Window.partitionBy("doc").orderBy("sdoc", "path", "shift", "pos")  # a document's windows
     spans = on_path.withColumn("island", F.col("pos") - F.row_number().over(run)).groupBy("doc", "sdoc", "path", "shift", "island").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("n"))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     return settle(spans.unionByName(copies.select("doc", F.expr(f"array(struct(0 as start, {WHOLE} as n))").alias("spans"))))
