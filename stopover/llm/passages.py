@@ -127,7 +127,9 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     anchors = rows.mapInArrow(_anchor_rows, "h long, doc long, pos int")
     shared = settle(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     near = skew_join(anchors, shared, ["h"], [F.col("doc")]).select("doc", "pos")
-    near = settle(near.join(copies, "doc", "left_anti").groupBy("doc").agg(F.collect_set("pos").alias("anchors")))
+    near = near.groupBy("doc").agg(F.collect_set("pos").alias("anchors"))
+    # not an anti join: it would be moved below the join on h and deal all anchors out by document first
+    near = settle(near.join(copies.withColumn("copy", F.lit(True)), "doc", "left").where("copy is null").drop("copy"))
     edges = rows.join(near, "doc").mapInArrow(_edge_rows, "e long, nodes long, doc long, pos int")
     first = edges.groupBy("e").agg(F.min(F.struct("doc", "pos", "nodes")).alias("s"), F.max("doc").alias("last")).where("s.doc < last")
     first = settle(first.select("e", F.col("s.doc").alias("sdoc"), F.col("s.pos").alias("spos"), "s.nodes"))
