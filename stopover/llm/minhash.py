@@ -17,9 +17,11 @@ BANDS, ROWS = 32, 4  # two sets of similarity 0.75 share no band once in 200,000
 SIMILAR = (75, 100)
 SMALL_BUCKET = 32
 # Members of a bucket that all others are compared with in one round. Once no more pairs than PAIRS_PER_CLASS for each class
-# are left between different components of a bucket, all of them are compared; both only order the work.
+# are left between different components of a bucket, or fewer than one pair in WORTH was a link, all of them are compared;
+# these numbers only order the work.
 PIVOTS = 3
 PAIRS_PER_CLASS = 4
+WORTH = 50
 
 _SIGMA, _PI1, _PI2 = U(0x5851F42D4C957F2D), U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 
@@ -171,7 +173,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Texts with the same set are one class, known by its smallest id. Classes that share a band key meet in buckets. No bucket
     is expanded into pairs while its members can still be joined through a few of them: each round compares every member with
     PIVOTS members of its bucket, drops these, and goes on with the buckets that still hold several components; when few pairs
-    between different components are left, or a round joins nothing more, those pairs are all compared. Links are confirmed on full
+    between different components are left, or a round hardly joins any more, those pairs are all compared. Links are confirmed on full
     sets of 64-bit shingle hashes. Null and wordless texts and rows without an id are linked with nothing (component: their
     own id). Rows sharing a doc_id are judged by their own text. An empty table gives an empty result.
     """
@@ -195,9 +197,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             pairs = met.where("comp <> comp2").where(_close("n", "n2")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
             gone = pivot.select("key", F.col("b").alias("id"))
             open_rows = open_rows.join(gone, ["key", "id"], "left_anti")
-        new = settle(_verify(settle(pairs), sets))
-        merged = not new.isEmpty()
-        if merged:
+        pairs = settle(pairs)
+        new = settle(_verify(pairs, sets))
+        n_new = new.count()
+        merged = n_new * WORTH > pairs.count()
+        if n_new:
             links = new if links is None else settle(links.union(new))
             label = components(links)
         if last:
