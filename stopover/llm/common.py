@@ -21,7 +21,7 @@ BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 STEP_BYTES = 2_000_000
 
 # The driver's garbage is collected after a checkpoint, if the last time is so many seconds ago.
-COLLECT_EVERY_S = 3
+COLLECT_EVERY_S = 1
 _collected = [0.0]
 
 U = np.uint64

@@ -117,7 +117,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     """(doc, spans): runs of windows, as (start, n), whose words also start in a document with a smaller id.
 
     1. Windows that are equal have equal anchors: only those at anchors that two documents share go on.
-    2. Their windows are the edges of a De Bruijn graph; those of two documents are repeated.
+    2. Their windows are the edges of a De Bruijn graph; those seen twice are repeated.
     3. Repeated edges are compacted into nonbranching paths, placed at the first source that holds them.
     4. Each later document's windows on one path at one distance from its source, without a gap, are a span.
     Whole copies of a smaller document are one span and stay out of the graph. Hashes have 64 bits.
@@ -131,9 +131,9 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     # not an anti join: it would be moved below the join on h and deal all anchors out by document first
     near = settle(near.join(copies.withColumn("copy", F.lit(True)), "doc", "left").where("copy is null").drop("copy"))
     edges = rows.join(near, "doc").mapInArrow(_edge_rows, "e long, nodes long, doc long, pos int")
-    first = edges.groupBy("e").agg(F.min(F.struct("doc", "pos", "nodes")).alias("s"), F.max("doc").alias("last")).where("s.doc < last")
-    first = settle(first.select("e", F.col("s.doc").alias("sdoc"), F.col("s.pos").alias("spos"), "s.nodes"))
-    paths = settle(_paths(first))
+    first = edges.groupBy("e").agg(F.min(F.struct("doc", "pos", "nodes")).alias("s"), F.count("*").alias("c")).where("c > 1")
+    first = first.select("e", F.col("s.doc").alias("sdoc"), F.col("s.pos").alias("spos"), "s.nodes")
+    paths = settle(_paths(settle(first)))  # the edges' own checkpoint goes once the paths are there
     on_path = skew_join(edges.select("e", "doc", "pos"), paths, ["e"], [F.col("doc")]).where("doc > sdoc")
     on_path = on_path.withColumn("shift", F.col("pos") - F.col("spos"))
     run = Window.partitionBy("doc").orderBy("sdoc", "path", "shift", "pos")  # a document's windows
