@@ -15,10 +15,9 @@ from stopover.session import skew_join
 SHINGLE = 5
 BANDS, ROWS = 32, 4  # two sets of similarity 0.75 share no band once in 200,000 times
 SIMILAR = (75, 100)
-SMALL_BUCKET = 32
 # Members of a bucket that all others are compared with in one round. Once no more pairs than PAIRS_PER_CLASS for each class
-# are left between different components of a bucket, or fewer than one pair in WORTH was a link, all of them are compared;
-# these numbers only order the work.
+# are left between different components of a bucket, or fewer than one pair in WORTH was a link, the rest is joined by the
+# prefixes of its sets; these numbers only order the work.
 PIVOTS = 3
 PAIRS_PER_CLASS = 4
 WORTH = 50
@@ -150,21 +149,28 @@ def _pivots(rows: DataFrame, turn: int) -> DataFrame:
     return settle(chosen.select("key", F.inline(F.array_distinct(each))))
 
 
-def _cross_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """All pairs of different components within a bucket; members of a large bucket must share a second band too.
+def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components among the given documents that share a shingle of their prefixes.
 
-    Similar sets share fewer than two of the bands once in 10,000 times.
+    Shingles are ordered by how rarely these documents hold them. A set similar enough to another shares at least 3/4 of its
+    shingles with it, hence one of the rarest n - ceil(3 n / 4) + 1: nothing is lost. Pairs whose shared shingles cannot be
+    enough by the places of the common one in both orders are left out, so that documents of a large group do not all meet.
     """
-    size = rows.groupBy("key").agg(F.count("*").alias("m"))
-    sized = rows.join(size, "key")
-    few = sized.where(F.col("m") <= SMALL_BUCKET).select("key", F.lit(0).cast("long").alias("key2"), "id", "n", "comp")
-    many = sized.where(F.col("m") > SMALL_BUCKET).join(reps.select("id", "bands"), "id")
-    many = many.select("key", F.explode("bands").alias("key2"), "id", "n", "comp").where("key <> key2")
-    both = settle(few.union(many))
-    mixed = both.groupBy("key", "key2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "key2")
-    both = settle(both.join(mixed, ["key", "key2"], "left_semi"))
-    other = both.select("key", "key2", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    return both.withColumnRenamed("id", "a").join(other, ["key", "key2"]).where("a < b and comp <> comp2").where(_close("n", "n2")).select("a", "b").distinct()
+    own = rows.select("id", "n", "comp").distinct()
+    tokens = sets.join(own, "id").select("id", "n", "comp", F.explode("set").alias("t"))
+    common = settle(tokens.groupBy("t").agg(F.count("*").alias("f")).where("f > 1"))
+    held = skew_join(tokens, common, ["t"], [F.col("id")]).groupBy("id", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s"))
+    length = F.col("n") - F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]) + 1 - (F.col("n") - F.size("s"))
+    prefix = held.where(length > 0).select("id", "n", "comp", F.size("s").alias("m"), F.posexplode(F.slice("s", F.lit(1), length.cast("int"))).alias("k", "x"))
+    prefix = prefix.select("id", "n", "comp", "x.t", "k", (F.col("m") - F.col("k")).alias("after"))
+    prefix = settle(prefix)
+    mixed = prefix.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
+    prefix = settle(prefix.join(mixed, "t", "left_semi"))
+    other = prefix.select("t", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("k").alias("k2"), F.col("after").alias("after2"))
+    most = F.least("after", "after2") + F.least("k", "k2")  # shared shingles from here on, and before
+    enough = most * (SIMILAR[0] + SIMILAR[1]) >= SIMILAR[0] * (F.col("n") + F.col("n2"))
+    met = prefix.withColumnRenamed("id", "a").join(other, "t").where("a < b and comp <> comp2")
+    return met.where(_close("n", "n2") & enough).select("a", "b").distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -173,7 +179,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Texts with the same set are one class, known by its smallest id. Classes that share a band key meet in buckets. No bucket
     is expanded into pairs while its members can still be joined through a few of them: each round compares every member with
     PIVOTS members of its bucket, drops these, and goes on with the buckets that still hold several components; when few pairs
-    between different components are left, or a round hardly joins any more, those pairs are all compared. Links are confirmed on full
+    between different components are left, or a round hardly joins any more, a prefix-filtered join finds the links among the
+    documents still in such buckets, without a loss. Links are confirmed on full
     sets of 64-bit shingle hashes. Null and wordless texts and rows without an id are linked with nothing (component: their
     own id). Rows sharing a doc_id are judged by their own text. An empty table gives an empty result.
     """
@@ -190,7 +197,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     while left:
         last = left <= PAIRS_PER_CLASS * classes or not merged
         if last:
-            pairs = _cross_pairs(open_rows, reps)
+            pairs = _prefix_pairs(open_rows, sets)
         else:
             pivot = _pivots(open_rows, turn)
             met = skew_join(open_rows, pivot, ["key"], [F.col("id")])
