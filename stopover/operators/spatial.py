@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from stopover.functions.geo import (
     M_PER_DEG_LAT,
-    cell,
     haversine_m,
     planar_m,
     point_in_rings,
@@ -22,25 +21,31 @@ from stopover.session import skew_join
 _M_PER_DEG_MIN = 110_000.0
 
 
-def _cell_size(radius_m: float, max_abs_lat: float) -> tuple[float, float]:
-    """Cell sides in degrees that are at least ``radius_m`` long up to the given latitude."""
-    lat = radius_m / _M_PER_DEG_MIN
-    return lat / math.cos(math.radians(min(max_abs_lat + 1.0, 89.0))), lat
-
-
-def _neighbours(df: DataFrame, size: tuple[float, float], lon: str, lat: str) -> DataFrame:
-    """One copy of each row per cell of the 3 x 3 block around it."""
-    cx, cy = cell(F.col(lon), F.col(lat), *size)
-    around = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
-    return (
-        df.withColumn("_cx0", cx)
-        .withColumn("_cy0", cy)
-        .withColumn("_dx", F.explode(around))
-        .withColumn("_dy", F.explode(around))
-        .withColumn("_cx", F.col("_cx0") + F.col("_dx"))
-        .withColumn("_cy", F.col("_cy0") + F.col("_dy"))
-        .drop("_cx0", "_cy0", "_dx", "_dy")
-    )
+def _band(lat: Column, radius_m: float) -> Column:
+    """Latitude band of a point; bands are at least ``radius_m`` high."""
+    return F.floor(lat / (radius_m / _M_PER_DEG_MIN)).cast("long")
+
+
+def _columns(band: Column, radius_m: float) -> Column:
+    """Cells around the globe in a latitude band, each at least ``radius_m`` wide there and in the bands beside it."""
+    height = radius_m / _M_PER_DEG_MIN
+    edge = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * height, F.lit(90.0))
+    reach = math.sin(math.radians(min(height, 180.0)) / 2) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
+    return F.greatest(F.floor(F.lit(360.0) / F.degrees(2 * F.asin(F.least(reach, F.lit(1.0))))), F.lit(1)).cast("long")
+
+
+def _column(lon: Column, n: Column) -> Column:
+    """Cell of a longitude among ``n`` around the globe."""
+    return F.pmod(F.floor((lon + 180.0) / (F.lit(360.0) / n)).cast("long"), n)
+
+
+def _neighbours(df: DataFrame, radius_m: float, lon: str, lat: str) -> DataFrame:
+    """One copy of each row per cell of the 3 x 3 block around it; the block wraps at 180 degrees."""
+    bands = df.withColumn("_cy", F.explode(F.array(*[_band(F.col(lat), radius_m) + d for d in (-1, 0, 1)])))
+    bands = bands.withColumn("_n", _columns(F.col("_cy"), radius_m))
+    mid = _column(F.col(lon), F.col("_n"))
+    around = F.array(*[F.pmod(mid + F.lit(d), F.col("_n")) for d in (-1, 0, 1)])
+    return bands.withColumn("_cx", F.explode(F.array_distinct(around))).drop("_n")
 
 
 def within_distance(
@@ -48,21 +53,20 @@ def within_distance(
     anchors: DataFrame,
     radius_m: float,
     point_key: str,
-    max_abs_lat: float = 60.0,
     measure=haversine_m,
     out: str = "dist_m",
 ) -> DataFrame:
     """Pairs of a point and an anchor at most ``radius_m`` apart, with the distance.
 
     Both sides need ``lon`` and ``lat``; the anchors' are returned as ``a_lon``, ``a_lat``.
-    Points are hashed to cells as long as the radius, anchors are repeated in the 3 x 3
-    cells around them. Cells with very many points are split over tasks.
+    Points are hashed to cells as long as the radius, sized by their own latitude band; anchors are
+    repeated in the 3 x 3 cells around them, across 180 degrees too. Cells with very many points are
+    split over tasks.
     """
-    size = _cell_size(radius_m, max_abs_lat)
-    cx, cy = cell(F.col("lon"), F.col("lat"), *size)
-    pts = points.where(F.col("lon").isNotNull()).withColumn("_cx", cx).withColumn("_cy", cy)
+    pts = points.where(F.col("lon").isNotNull()).withColumn("_cy", _band(F.col("lat"), radius_m))
+    pts = pts.withColumn("_cx", _column(F.col("lon"), _columns(F.col("_cy"), radius_m)))
     anc = anchors.withColumnRenamed("lon", "a_lon").withColumnRenamed("lat", "a_lat")
-    near = skew_join(pts, _neighbours(anc, size, "a_lon", "a_lat"), ["_cx", "_cy"], [point_key])
+    near = skew_join(pts, _neighbours(anc, radius_m, "a_lon", "a_lat"), ["_cx", "_cy"], [point_key])
     d = measure(F.col("lon"), F.col("lat"), F.col("a_lon"), F.col("a_lat"))
     return near.withColumn(out, d).where(F.col(out) <= radius_m).drop("_cx", "_cy")
 
@@ -74,7 +78,6 @@ def nearest_within(
     point_key: str | list[str],
     anchor_key: str,
     measure=haversine_m,
-    max_abs_lat: float = 60.0,
 ) -> DataFrame:
     """The nearest anchor of each point within ``radius_m``: keys, anchor key, dist_m. Ties by anchor key.
 
@@ -83,7 +86,7 @@ def nearest_within(
     """
     keys = [point_key] if isinstance(point_key, str) else point_key
     pairs = within_distance(
-        points.select(*keys, "lon", "lat"), anchors.select(anchor_key, "lon", "lat"), radius_m, keys[0], max_abs_lat, measure
+        points.select(*keys, "lon", "lat"), anchors.select(anchor_key, "lon", "lat"), radius_m, keys[0], measure
     )
     best = pairs.groupBy(*keys).agg(F.min(F.struct(F.col("dist_m"), F.col(anchor_key))).alias("_b"))
     return best.select(*keys, F.col(f"_b.{anchor_key}").alias(anchor_key), F.col("_b.dist_m").alias("dist_m"))

@@ -245,9 +245,10 @@ def similarities(queries: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 
     Meant for judged corpora where each score is wanted; use :func:`knn_exact` for search.
     """
-    head = queries.select("qid", F.col("embedding").alias("qvec")).limit(QUERY_BLOCK + 1).toPandas()
-    if len(head) > QUERY_BLOCK:
-        raise ValueError("score judged query sets in blocks of at most QUERY_BLOCK, or use knn_exact")
+    n = queries.limit(QUERY_BLOCK + 1).count()
+    if n > QUERY_BLOCK:
+        return _similarity_blocks(queries, vectors, key)
+    head = queries.select("qid", F.col("embedding").alias("qvec")).toPandas()  # at most QUERY_BLOCK rows
     shared = vectors.sparkSession.sparkContext.broadcast((head["qid"].to_numpy(), _unit(head["qvec"]) if len(head) else None))
     kt, qt = vectors.schema[key].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
 
@@ -263,6 +264,25 @@ def similarities(queries: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     return vectors.select(key, "embedding").mapInPandas(scan, f"qid {qt}, {key} {kt}, score double")
 
 
+def _similarity_blocks(queries: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """Similarities of a query set of any size: blocks of queries meet blocks of vectors, each pair of blocks in its own task."""
+    half = max(QUERY_BLOCK // 2, 1)
+    n_q, n_v = -(-queries.count() // half), max(-(-vectors.count() // half), 1)
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = vectors.select(key, "embedding", own(key, n_v).alias("_v")).select("*", blocks(n_q).alias("_q"))
+    right = queries.select("qid", F.col("embedding").alias("qvec"), own("qid", n_q).alias("_q")).select("*", blocks(n_v).alias("_v"))
+    kt, qt = vectors.schema[key].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+
+    def score(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(q):
+            return pd.DataFrame({"qid": q["qid"][:0], key: v[key][:0], "score": np.zeros(0)})
+        s = _unit(v["embedding"]) @ _unit(q["qvec"]).T
+        return pd.DataFrame({"qid": np.tile(q["qid"].to_numpy(), len(v)), key: np.repeat(v[key].to_numpy(), len(q)), "score": s.ravel()})
+
+    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(score, f"qid {qt}, {key} {kt}, score double")
+
+
 def subject_search(queries: DataFrame, subject_vectors: DataFrame, item_subject: DataFrame, limit: int = 5) -> DataFrame:
     """Items ranked by their most similar subject."""
     sims = similarities(queries, subject_vectors, "normalized_name")

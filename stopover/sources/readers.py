@@ -207,14 +207,15 @@ def read_conversations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten_posts(raw: DataFrame) -> DataFrame:
-    posts = raw.select("conv", "alias", "written_by", F.posexplode("posts").alias("seq", "p"))
+    """One row per post that stays in its conversation, numbered without gaps: posts of a new thread go first."""
+    own = F.filter("posts", lambda p: ~F.coalesce(p["new_thread"], F.lit(False)))
+    posts = raw.select("conv", "alias", "written_by", F.posexplode(own).alias("seq", "p"))
     reply = (
         F.when(F.col("p.reply_to").isNull() | (F.col("p.reply_to") == ""), F.array().cast("array<string>"))
         .when(F.col("p.reply_to").startswith("["), F.from_json("p.reply_to", "array<string>"))
         .otherwise(F.array("p.reply_to"))
     )
-    kept = posts.where(~F.coalesce(F.col("p.new_thread"), F.lit(False)))
-    return kept.select(
+    return posts.select(
         "conv", "seq", F.col("p.id").alias("post_id"), F.coalesce("p.day", F.lit(1)).alias("day"),
         "p.author", reply.alias("reply_to"), "p.text",
         F.coalesce("p.topics", F.array().cast("array<string>")).alias("topics"), "alias", "written_by",
