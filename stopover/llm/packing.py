@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -20,7 +21,7 @@ END_ID = 0
 GROUP_PIECES = 16_384
 # Sequences of a group that are fuller than this stay; the rest of all groups meet again in the next round.
 FULL = 0.97
-# Pre-tokens whose ids a task remembers.
+# Pre-tokens of one generation whose ids a worker remembers; it holds two, and those not met again in a generation go.
 REMEMBERED = 300_000
 
 # Fixed values of the vocabulary: the pre-token pattern, with the Unicode blanks spelled out.
@@ -36,7 +37,7 @@ def _encoder(path: str):
 
 
 class _Words:
-    """Ids of pre-tokens, each encoded once a task; forgotten when there are too many."""
+    """Ids of pre-tokens, each encoded once as long as it keeps coming up."""
 
     def __init__(self, path: str):
         import regex
@@ -45,21 +46,44 @@ class _Words:
         self.find = regex.compile(PRE_TOKENS).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
         if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts, ids = self.find(text), self.ids
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        parts = self.find(text)
         try:
-            return b"".join([ids[p] for p in parts])
+            return b"".join([self.ids[p] for p in parts])
         except KeyError:
-            if len(ids) > REMEMBERED:
-                ids.clear()
-            new = [p for p in dict.fromkeys(parts) if p not in ids]
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                ids[p] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([ids[p] for p in parts])
+            self._learn(parts)
+            return b"".join([self.ids[p] for p in parts])
+
+    def _learn(self, parts: list[str]) -> None:
+        """Have the ids of all ``parts`` in the young generation."""
+        if len(self.ids) > REMEMBERED:
+            self.before, self.ids = self.ids, {}
+        ids, before = self.ids, self.before
+        missing = [p for p in dict.fromkeys(parts) if p not in ids]
+        new = []
+        for p in missing:
+            known = before.get(p)
+            if known is None:
+                new.append(p)
+            else:
+                ids[p] = known
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids[p] = _packed(e.ids)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@cache
+def _words_of(path: str) -> _Words:
+    """The memory of one Python worker, kept from task to task."""
+    return _Words(path)
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -71,7 +95,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Da
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _Words(tokenizer), np.array([END_ID], "<u4").tobytes()
+        words, end = _words_of(tokenizer), _packed([END_ID])
         for batch in steps(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
