@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 
 from stopover.functions.rules import drop_replies
 from stopover.functions.stats import auc, best_threshold, prefix_sum, share
-from stopover.functions.text import NGRAM_DIM, _bigram_counts, is_ack, is_question
+from stopover.functions.text import NGRAM_DIM, bigram_matrix, gram_bucket, is_ack, is_question
 from stopover.operators.ordered import fold_in_order
 
 OFF = "OFF"
@@ -41,8 +40,7 @@ def extract_nouns(text: Column) -> Column:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def bigram_counts(s: pd.Series) -> pd.Series:
     """Hashed 2-gram counts of a text, not normalised, so that they add up over a topic."""
-    known: dict[str, int] = {}
-    return s.map(lambda t: _bigram_counts(t or "", known))
+    return pd.Series(list(bigram_matrix(s.fillna("").tolist())), index=s.index, dtype=object)
 
 
 def prepare_posts(posts: DataFrame, nouns=extract_nouns) -> DataFrame:
@@ -63,10 +61,6 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / n if n else v
 
 
-def _bucket(gram: str) -> int:
-    return int.from_bytes(hashlib.md5(gram.encode("utf-8")).digest(), "big") % NGRAM_DIM
-
-
 class Topic:
     """Running context of a topic: enough to give its vector without keeping its texts.
 
@@ -88,8 +82,8 @@ class Topic:
         if self.n == 0:
             self.single = own
         else:
-            self.counts[_bucket(self.tail + "。")] += 1.0
-            self.counts[_bucket("。" + post["head"])] += 1.0
+            self.counts[gram_bucket(self.tail + "。")] += 1.0
+            self.counts[gram_bucket("。" + post["head"])] += 1.0
         self.counts += whole
         self.tail, self.n, self.last_id = post["tail"], self.n + 1, post["post_id"]
         self.nouns |= set(post["nouns"])

@@ -65,7 +65,7 @@ def test_concat_context_equals_embedding_of_joined_text(spark):
     t = topics.Topic()
     for p in posts:
         t.add(p.asDict())
-    want = topics._unit(topics._bigram_counts("。".join(r[0] for r in rows), {}))
+    want = topics._unit(topics.bigram_matrix(["。".join(r[0] for r in rows)])[0])
     assert abs(t.vector("concat") - want).max() < 1e-12
 
 
