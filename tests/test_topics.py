@@ -1,8 +1,12 @@
 """Routers on short conversations worked through by hand."""
 
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stopover.functions.text import ngram_vector
 from stopover.operators import topics
 
 POST = "conv long, seq int, post_id string, reply_to array<string>, text string, topics array<string>"
@@ -118,3 +122,14 @@ def test_parse_conditions(spark):
     df = spark.createDataFrame([("p-m_seq10n_flow_reply",), ("p_api_object_noreply_r2",), ("odd_name",)], "condition string")
     got = {r["condition"]: (r["mode"], r["run"]) for r in topics.parse_conditions(df).collect()}
     assert got == {"p-m_seq10n_flow_reply": ("narrow", None), "p_api_object_noreply_r2": ("full", "r2")}
+
+
+def test_ngram_vectors_keep_nulls_and_short_texts(spark):
+    texts = ["ab ab", None, "", "a", "日本語"]
+    got = {r.i: r.v for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1).select("i", ngram_vector("t").alias("v")).collect()}
+    assert got[1] is None
+    for i, grams in {0: ["ab", "ba", "ab"], 2: [""], 3: ["a"], 4: ["日本", "本語"]}.items():
+        want = np.zeros(384)
+        for g in grams:
+            want[int.from_bytes(hashlib.md5(g.encode()).digest(), "big") % 384] += 1
+        assert np.allclose(got[i], want / np.linalg.norm(want))
