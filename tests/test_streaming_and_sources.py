@@ -85,6 +85,25 @@ def test_trails_cover_a_branching_line(spark):
     assert [r["edge_id"] for r in second] == [3] and second[0]["tail_group"] == "A" and second[0]["tail_cost"] == 1.5
 
 
+def test_trails_over_forks_and_rings(spark):
+    """Every edge lies on one trail, trails hang together, and their number is the least that odd nodes allow."""
+    pairs = [(1, 2), (2, 3), (3, 4), (4, 2), (4, 5), (5, 6), (5, 7), (10, 11), (11, 12), (12, 10), (20, 20), (30, 31), (30, 31)]
+    e = [(7, i, a, b, float(i + 1), "S" if i == 5 else None) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(e, "line_id long, edge_id long, source long, target long, cost double, group_code string")
+    rows = timetable.cover_trails(df).orderBy("trail", "pos").collect()
+    assert sorted(r["edge_id"] for r in rows) == list(range(len(pairs)))
+    for x, y in zip(rows, rows[1:]):
+        assert x["trail"] != y["trail"] or x["target"] == y["source"]
+    for r in rows:
+        assert {r["source"], r["target"]} == set(pairs[r["edge_id"]]) and r["cost"] == r["edge_id"] + 1.0
+    odd = [n for n in {n for p in pairs for n in p} if sum((a == n) + (b == n) for a, b in pairs) % 2]
+    assert len({r["trail"] for r in rows}) == len(odd) // 2 + 3  # and one for each ring apart
+    assert rows[0]["source"] == 1
+    # The stretch left between the forks 2 and 4: over 3, 4 and 5 to the middle of the platform, and over 5.
+    short = next(r for r in rows if r["edge_id"] == 3)
+    assert (short["head_group"], short["head_cost"], short["tail_group"], short["tail_cost"]) == ("S", 13.0, "S", 8.0)
+
+
 def test_runs_are_split_and_short_ones_dropped(spark):
     df = spark.createDataFrame([(1, i, ok) for i, ok in enumerate([True, True, False, True, False, True, True, True])], "k int, at int, ok boolean")
     got = timetable.split_runs(df, ["k"], "at", "ok").orderBy("at").collect()
