@@ -98,6 +98,12 @@ def _copies(rows: DataFrame) -> DataFrame:
     return settle(skew_join(named, shared, ["t1", "t2"], [F.col("doc")]).where("doc > first").select("doc").distinct())
 
 
+def _repeated(edges: DataFrame) -> DataFrame:
+    """Edges seen twice or more, with their nodes and their first place."""
+    first = edges.groupBy("e").agg(F.min(F.struct("doc", "pos", "nodes")).alias("s"), F.count("*").alias("c")).where("c > 1")
+    return first.select("e", F.col("s.doc").alias("sdoc"), F.col("s.pos").alias("spos"), "s.nodes")
+
+
 def _paths(edges: DataFrame) -> DataFrame:
     """Edges with the start of the nonbranching path they lie on, in the coordinates of the path's first source.
 
@@ -131,9 +137,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     # not an anti join: it would be moved below the join on h and deal all anchors out by document first
     near = settle(near.join(copies.withColumn("copy", F.lit(True)), "doc", "left").where("copy is null").drop("copy"))
     edges = rows.join(near, "doc").mapInArrow(_edge_rows, "e long, nodes long, doc long, pos int")
-    first = edges.groupBy("e").agg(F.min(F.struct("doc", "pos", "nodes")).alias("s"), F.count("*").alias("c")).where("c > 1")
-    first = first.select("e", F.col("s.doc").alias("sdoc"), F.col("s.pos").alias("spos"), "s.nodes")
-    paths = settle(_paths(settle(first)))  # the edges' own checkpoint goes once the paths are there
+    paths = settle(_paths(settle(_repeated(edges))))  # unnamed steps, so that their shuffles and the edges' checkpoint can go
     on_path = skew_join(edges.select("e", "doc", "pos"), paths, ["e"], [F.col("doc")]).where("doc > sdoc")
     on_path = on_path.withColumn("shift", F.col("pos") - F.col("spos"))
     run = Window.partitionBy("doc").orderBy("sdoc", "path", "shift", "pos")  # a document's windows
