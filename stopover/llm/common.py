@@ -43,7 +43,9 @@ def settle(df: DataFrame) -> DataFrame:
     del df
     if time.monotonic() - _collected[0] > COLLECT_EVERY_S:
         gc.collect()
-        context._jvm.System.gc()
+        for _ in range(2):  # what holds the plan's shuffles goes with the first collection, they with the second
+            context._jvm.System.gc()
+            time.sleep(0.1)
         _collected[0] = time.monotonic()
     return out
 
