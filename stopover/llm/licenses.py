@@ -1,4 +1,4 @@
-"""License scans: phrases word by word, and an exact containment join of text blocks with license templates."""
+"""License scans: phrases word by word, and an exact containment join of lines and word windows with license templates."""
 
 from __future__ import annotations
 
@@ -50,43 +50,62 @@ def phrase_places(word: Column, phrases: list[tuple[str, str]] = PHRASES) -> dic
     return out
 
 
-def blocks(documents: DataFrame) -> DataFrame:
-    """Lines of every text, lower-cased, as (doc_id, _key, block)."""
-    return documents.select("doc_id", F.xxhash64("text").alias("_key"), F.explode(F.split(lower_ascii(F.col("text")), "\n")).alias("block"))
+def blocks(documents: DataFrame, wanted: list[str], lengths: list[int]) -> DataFrame:
+    """Word lists of the blocks that hold a wanted word, as (doc_id, _key, length, block).
+
+    Blocks are the lines of a text (length null) and, for each of ``lengths``, windows of twice so many words, one every
+    ``length`` words, line ends or not: any ``length`` words in a row lie in one of them. Lower-cased.
+    """
+    known = F.array(*[F.lit(w) for w in wanted])
+    sizes = F.array(*[F.lit(n) for n in lengths])
+    text = lower_ascii(F.col("text"))
+    rows = documents.select("doc_id", F.xxhash64("text").alias("_key"), text.alias("_text"), words(text, BREAKS).alias("_w")).where(F.arrays_overlap("_w", known))
+    hits = F.filter(F.transform("_w", lambda w, i: F.when(F.array_contains(known, w), i)), lambda i: i.isNotNull())
+    starts = "array_distinct(flatten(transform(_hits, i -> array(greatest(i div n - 1, 0), i div n))))"
+    windows = f"flatten(transform(_sizes, n -> transform({starts}, k -> struct(n as length, slice(_w, cast(k * n + 1 as int), 2 * n) as block))))"
+    lines = F.filter(F.transform(F.split("_text", "\n"), lambda x: words(x, BREAKS)), lambda x: F.arrays_overlap(x, known))
+    lines = F.transform(lines, lambda x: F.struct(F.lit(None).cast("int").alias("length"), x.alias("block")))
+    every = rows.withColumns({"_hits": hits, "_sizes": sizes}).select("doc_id", "_key", F.explode(F.concat(lines, F.expr(windows))).alias("_b"))
+    return every.select("doc_id", "_key", "_b.length", "_b.block")
 
 
 def containment_join(documents: DataFrame, template: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every (doc_id, _key, template) with a line holding at least ``threshold`` of the template's distinct words.
+    """Every (doc_id, _key, template) with a block holding at least ``threshold`` of the template's distinct words.
 
-    Words are ordered by how rarely they occur in all lines. A line that reaches the threshold shares a word with the
-    first |T| - ceil(t |T|) + 1 words of the template in that order, so only those are joined; lines with too few template
+    A block is a line, or a window of twice the template's words (see ``blocks``), so a notice may be wrapped over lines.
+    Words are ordered by how few texts hold them. A block that reaches the threshold shares a word with the
+    first |T| - ceil(t |T|) + 1 words of the template in that order, so only those are joined; blocks with too few template
     words (length) or too few after the matched one on either side (position) are dropped before the exact count.
-    The template table is a parameter: its word list is held as one array. Lines and documents may be of any number.
+    The template table is a parameter: its word list is held as one array. Blocks and documents may be of any number.
     """
     need = F.ceil(F.lit(threshold) * F.size("t_words") - F.lit(1e-9)).cast("int")
-    sets = template.select("template", "label", F.array_distinct(words(lower_ascii(F.col("text")), BREAKS)).alias("t_words")).where(F.size("t_words") > 0)
+    sets = template.select("template", "label", words(lower_ascii(F.col("text")), BREAKS).alias("_w")).where(F.size("_w") > 0)
+    sets = sets.select("template", "label", F.size("_w").alias("t_length"), F.array_distinct("_w").alias("t_words"))
     vocabulary = sorted(r[0] for r in sets.select(F.explode("t_words")).distinct().collect())
     if not vocabulary:
         return documents.select("doc_id", F.xxhash64("text").alias("_key")).limit(0).crossJoin(sets.select("template", "label", F.lit(0.0).alias("score")))
     least = sets.select(F.min(need)).first()[0]
     known = F.array(*[F.lit(v) for v in vocabulary])
-    held = blocks(documents).select("doc_id", "_key", F.array_intersect(words(F.col("block"), BREAKS), known).alias("b_words")).where(F.size("b_words") > 0)
-    rare = dict(held.select(F.explode("b_words").alias("w")).groupBy("w").count().collect())
+    held = documents.select(F.explode(F.array_intersect(words(lower_ascii(F.col("text")), BREAKS), known)).alias("w"))
+    rare = dict(held.groupBy("w").count().collect())
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (rare.get(w, 0), w)))}
     ordering = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
     ordered = lambda c: F.array_sort(F.transform(c, lambda w: ordering[w]))
     index = (
         sets.withColumns({"need": need, "t_words": ordered("t_words")})
         .withColumn("prefix", F.slice("t_words", 1, F.size("t_words") - F.col("need") + 1))
-        .select("template", "label", "t_words", "need", F.posexplode("prefix").alias("t_at", "w"))
-    )
-    probe = held.where(F.size("b_words") >= least).withColumn("b_words", ordered("b_words")).select(
-        "doc_id", "_key", "b_words", F.posexplode("b_words").alias("b_at", "w")
+        .select("template", "label", "t_length", "t_words", "need", F.posexplode("prefix").alias("t_at", "w"))
     )
+    first = {r[0] for r in index.select("w").distinct().collect()}
+    lengths = sorted(r[0] for r in sets.select("t_length").distinct().collect())
+    found = blocks(documents, [w for w in vocabulary if rank[w] in first], lengths)
+    probe = found.select("doc_id", "_key", "length", F.array_intersect("block", known).alias("b_words")).where(F.size("b_words") >= least)
+    probe = probe.withColumn("b_words", ordered("b_words")).select("doc_id", "_key", "length", "b_words", F.posexplode("b_words").alias("b_at", "w"))
     left_over = F.least(F.size("t_words") - F.col("t_at"), F.size("b_words") - F.col("b_at")) + F.least("t_at", "b_at")
     shared = F.size(F.array_intersect("t_words", "b_words"))
     return (
         probe.join(F.broadcast(index), "w")  # a template table has at most its vocabulary's words times its rows
+        .where(F.col("length").isNull() | (F.col("length") == F.col("t_length")))
         .where(F.size("b_words") >= F.col("need")).where(left_over >= F.col("need")).where(shared >= F.col("need"))
         .groupBy("doc_id", "_key", "template", "label").agg(F.max(shared / F.size("t_words")).alias("score"))
     )
