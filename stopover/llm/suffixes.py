@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopover.llm.common import STEP_BYTES, U, buffer_of, mix, settle, steps
@@ -26,7 +26,6 @@ COVER = ROOT * ROOT
 BLOCK_BYTES = 4_000_000
 BUCKET = 1 << 17
 HOT_SEGMENTS = 2_000
-NO_ID = (1 << 63) - 1
 
 _BASES = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
 _CODES = mix(np.arange(1, 257, dtype=U))
@@ -328,15 +327,20 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _doc() -> Column:
+    """A row's key: 64-bit hash of its id (or that it has none) and its text; only rows repeated in full share one."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "text")
+
+
 def repeated_spans(documents: DataFrame) -> DataFrame:
-    """(doc, spans) with spans (start, n): runs of windows of SIZE bytes that also start anywhere else.
+    """(doc, spans), doc as in ``_doc``, with spans (start, n): runs of windows of SIZE bytes that also start anywhere else.
 
     1. Every window belongs to a segment by its anchor. Keys that occur once have no repeated window.
     2. Keys whose segments are all equal, and segments that occur twice, are repeated as a whole.
     3. One text of each other distinct segment goes, with those of its key, into the suffix sort of a block.
     4. Keys with more than HOT_SEGMENTS distinct segments have their windows counted by hash instead, spread over all tasks.
     """
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text").where(F.octet_length("text") >= SIZE)
+    rows = documents.select(_doc().alias("doc"), "text").where(F.octet_length("text") >= SIZE)
     segments = rows.mapInArrow(_segment_rows, "key long, d long, doc long, start long, on int")
     keys = segments.groupBy("key").agg(F.count("*").alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi")).where("c > 1")
     keys = settle(keys.select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
@@ -363,11 +367,11 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
 def drop_repeated_strings(documents: DataFrame) -> DataFrame:
     """``documents`` with n_bytes, n_removed, n_spans, kept_sha256 and kept_text (what is left; cut characters drop out).
 
-    A null text is empty. Occurrences in rows repeated in full count; a null doc_id is an id of its own; rows that share a
-    doc_id with different texts lose the same places. An empty table gives an empty result; clashing columns are replaced.
+    A null text is empty. Occurrences in rows repeated in full count; rows without an id, or that
+    share one with different texts, lose the places of their own text. An empty table gives an empty result; clashing columns are replaced.
     """
     new = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
-    rows = documents.drop(*new).withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    rows = documents.drop(*new).withColumn("doc", _doc())
     joined = rows.join(repeated_spans(documents), "doc", "left").drop("doc")
     carried = [c for c in joined.columns if c not in ("text", "spans")]
     packed = joined.select(F.struct(*carried).alias("_row"), "text", "spans")
