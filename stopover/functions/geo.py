@@ -147,7 +147,7 @@ def point_in_rings(lon: Column, lat: Column, rings: Column) -> Column:
                 ((s["a"]["lat"] > lat) != (s["b"]["lat"] > lat))
                 & (
                     lon
-                    < (s["b"]["lon"] - s["a"]["lon"]) * (lat - s["a"]["lat"]) / (s["b"]["lat"] - s["a"]["lat"])
+                    < F.try_divide((s["b"]["lon"] - s["a"]["lon"]) * (lat - s["a"]["lat"]), s["b"]["lat"] - s["a"]["lat"])
                     + s["a"]["lon"]
                 ),
                 F.lit(1),
@@ -187,9 +187,10 @@ def segment_cross(a: Column, b: Column, c: Column, d: Column) -> Column:
     sx, sy = d["lon"] - c["lon"], d["lat"] - c["lat"]
     den = rx * sy - ry * sx
     qx, qy = c["lon"] - a["lon"], c["lat"] - a["lat"]
-    t = (qx * sy - qy * sx) / den
-    u = (qx * ry - qy * rx) / den
-    hit = (den != 0) & t.between(0.0, 1.0) & u.between(0.0, 1.0)
+    # Parallel segments have no such point; ANSI division would fail wherever the plan evaluates it before a test.
+    t = F.try_divide(qx * sy - qy * sx, den)
+    u = F.try_divide(qx * ry - qy * rx, den)
+    hit = t.between(0.0, 1.0) & u.between(0.0, 1.0)
     return F.when(hit, F.named_struct(F.lit("lon"), a["lon"] + t * rx, F.lit("lat"), a["lat"] + t * ry))
 
 
