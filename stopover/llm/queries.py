@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopover.llm import decontaminate, language, licenses, minhash, packing, passages, quality, suffixes, urls, warc
+from stopover.llm import centroids, codes, decontaminate, language, licenses, minhash, packing, passages, quality, sql, suffixes, token_counts, urls, warc
 from stopover.llm.common import table
+from stopover.session import ensure_checkpoint_dir
 
 BASE_RULES = [
     ("com/", "allow", 1),
@@ -73,6 +76,21 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("n_compared")
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts through a cache of this call's own, so that every call does the whole work."""
+    ensure_checkpoint_dir(spark)
+    cache = f"{spark.sparkContext.getCheckpointDir()}/token-counts-{uuid.uuid4().hex}"
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), cache)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -84,5 +102,11 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_language": op9_language,
     "op10_urls": op10_urls,
+    "op11_centroids": op11_centroids,
+    "op12_codes": op12_codes,
+    "op13_token_counts": op13_token_counts,
+}
+ORACLES: dict[str, str] = {
+    "op11_centroids": sql.centroid_sql(),
+    "op12_codes": sql.code_sql(),
 }
-ORACLES: dict[str, str] = {}
