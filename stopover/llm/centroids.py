@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stopover.llm.common import settle
-from stopover.llm.vectors import chunks, finite, floored, matrix, means
+from stopover.llm.vectors import chunks, finite, floored, matrix, means, runs
 
 # Cells (vectors x centroids, vectors x dimensions) that one numpy step holds.
 CELLS = 2_000_000
@@ -63,7 +63,7 @@ class SortedLists:
                 gap = v[row] - self.centroids[centroid]
                 distance = np.einsum("ij,ij->i", gap, gap)
                 order = np.lexsort((centroid, distance, row))
-                first = order[np.flatnonzero(np.r_[True, np.diff(row[order]) > 0])]
+                first = order[runs(row[order])[0]]
                 at, found, which = live[row[first]], distance[first], centroid[first]
                 better = (found < best[at]) | ((found == best[at]) & (which < number[at]))
                 best[at[better]], number[at[better]] = found[better], which[better]
@@ -86,7 +86,7 @@ def _sums(lists: SortedLists):
             x = matrix(batch.column("v"), d)
             number, _, _ = lists.nearest(x)
             order = np.argsort(number, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(number[order]) > 0])
+            starts, _ = runs(number[order])
             met = number[order][starts]
             sums[met] += np.add.reduceat(x[order], starts, axis=0)
             n += np.bincount(number, minlength=k)

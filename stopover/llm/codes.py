@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopover.llm.common import settle
-from stopover.llm.vectors import chunks, finite, floored, lists, matrix, means
+from stopover.llm.vectors import chunks, finite, floored, lists, matrix, means, runs
 from stopover.session import skew_join
 
-# Pairs of a part and an entry that one numpy step compares, and rows of a step.
-PAIRS = 200_000
-STEP_ROWS = 4_096
+# Rows of one numpy step.
+STEP_ROWS = 10_000
 # Labels whose sums are sent to every task (16 bytes each); more of them are joined by a shuffle.
 BROADCAST_LABELS = 100_000
 
@@ -27,10 +26,16 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", gap, gap)
 
 
-def _least(row: np.ndarray, entry: np.ndarray, distance: np.ndarray) -> np.ndarray:
-    """Places of each row's least distance, ties to the lower entry."""
-    order = np.lexsort((entry, distance, row))
-    return order[np.flatnonzero(np.r_[True, np.diff(row[order]) > 0])] if len(order) else order
+def block(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``x`` to all of ``c``, exact; by floating-point products while those are exact."""
+    largest = max(np.abs(x).max(initial=0), np.abs(c).max(initial=0))
+    if 4 * x.shape[1] * int(largest) ** 2 < 1 << 53:
+        y, d = x.astype(float), c.astype(float)
+        return (np.einsum("ij,ij->i", y, y)[:, None] - 2.0 * (y @ d.T) + np.einsum("ij,ij->i", d, d)).astype(np.int64)
+    out = np.empty((len(x), len(c)), np.int64)
+    for j, entry in enumerate(c):
+        out[:, j] = squared(x, entry)
+    return out
 
 
 class Balls:
@@ -50,57 +55,45 @@ class Balls:
         apart = np.stack([squared(entries, e) for e in entries]) if len(entries) else np.zeros((0, 0), np.int64)
         np.fill_diagonal(apart, np.iinfo(np.int64).max)
         self.order = np.argsort(apart, axis=1, kind="stable")
-        self.apart = np.take_along_axis(apart, self.order, axis=1)
-        limit = np.where(reach >= 0, 4 * np.square(np.maximum(reach, 0)), -1)
+        apart = np.take_along_axis(apart, self.order, axis=1)
+        limit = [min(4 * int(r) ** 2, np.iinfo(np.int64).max - 1) if r >= 0 else -1 for r in reach]
         # What is no neighbour of the ball lies behind all of them.
-        self.apart[self.apart > limit[:, None]] = np.iinfo(np.int64).max
+        apart[apart > np.array(limit, np.int64)[:, None]] = np.iinfo(np.int64).max
+        self.quarter = -(-apart // 4)  # the least squared distance of a member that an entry concerns
 
     def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nearest entry of each row among all, as the first round needs it."""
-        code, error = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-        step = max(1, PAIRS // max(len(self.entries), 1))
-        for at in range(0, len(x), step):
-            part = x[at : at + step]
-            gap = part[:, None, :] - self.entries[None, :, :]
-            distance = np.einsum("ijk,ijk->ij", gap, gap)
-            code[at : at + step] = distance.argmin(axis=1)  # the first least
-            error[at : at + step] = distance.min(axis=1)
-        return code, error
+        distance = block(x, self.entries)
+        return distance.argmin(axis=1), distance.min(axis=1)  # the first least
 
     def move(self, x: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Nearest entry of each row from the entry it had: (code, squared distance, pairs compared)."""
         code = code.copy()
         error = squared(x, self.entries[code])
         at, ring = self.rings(code, error)
-        compared = len(x) + int(ring.sum())
-        bounds = np.cumsum(ring)
-        done = 0
-        while done < len(at):
-            upto = max(int(np.searchsorted(bounds, (bounds[done - 1] if done else 0) + PAIRS, "right")), done + 1)
-            rows, many = at[done:upto], ring[done:upto]
-            row = np.repeat(rows, many)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            entry = self.order[code[row], place]
-            distance = squared(x[row], self.entries[entry])
-            best = _least(row, entry, distance)
-            row, entry, distance = row[best], entry[best], distance[best]
-            better = (distance < error[row]) | ((distance == error[row]) & (entry < code[row]))
-            code[row[better]], error[row[better]] = entry[better], distance[better]
-            done = upto
-        return code, error, compared
+        old = code[at]
+        for a, b in zip(*runs(old), strict=True):
+            row, many = at[a:b], ring[a:b]
+            near = self.order[old[a], : many.max()]
+            distance = block(x[row], self.entries[near])
+            distance[np.arange(len(near)) >= many[:, None]] = np.iinfo(np.int64).max
+            least = distance.min(axis=1)
+            entry = np.where(distance == least[:, None], near, len(self.entries)).min(axis=1)
+            better = (least < error[row]) | ((least == error[row]) & (entry < code[row]))
+            code[row[better]], error[row[better]] = entry[better], least[better]
+        return code, error, len(x) + int(ring.sum())
 
     def rings(self, code: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows outside their entry's stable core, and how many of its neighbours each must be compared with."""
-        if self.apart.shape[1] == 0:
+        if self.quarter.shape[1] == 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(4 * error >= self.apart[code, 0])
+        at = np.flatnonzero(error >= self.quarter[code, 0])
         ring = np.zeros(len(at), np.int64)
         by = np.argsort(code[at], kind="stable")
         at = at[by]
         held = code[at]
-        starts = np.flatnonzero(np.r_[True, np.diff(held) > 0]) if len(at) else np.zeros(0, np.int64)
-        for a, b in zip(starts, np.r_[starts[1:], len(at)], strict=True):
-            ring[a:b] = np.searchsorted(self.apart[held[a]], 4 * error[at[a:b]], "right")
+        for a, b in zip(*runs(held), strict=True):
+            ring[a:b] = np.searchsorted(self.quarter[held[a]], error[at[a:b]], "right")
         return at, ring
 
 
@@ -133,7 +126,7 @@ def _sums(parts: int, entries: int, width: int):
             at = (matrix(batch.column("codes"), parts) + np.arange(parts) * entries).ravel()
             error = matrix(batch.column("errors"), parts).ravel()
             order = np.argsort(at, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+            starts, _ = runs(at[order])
             met = at[order][starts]
             sums[met] += np.add.reduceat(v[order], starts, axis=0)
             n += np.bincount(at, minlength=parts * entries)

@@ -54,6 +54,12 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal keys."""
+    cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return cuts, np.r_[cuts[1:], np.full(min(len(keys), 1), len(keys))]
+
+
 def means(sums: DataFrame, keys: list[str], width: int) -> list:
     """Rows (keys.., means, n, extras): componentwise floor(sum / n) of partial rows (keys.., sums, n, far).
 
