@@ -15,12 +15,9 @@ from stopover.session import skew_join
 SHINGLE = 5
 BANDS, ROWS = 32, 4  # two sets of similarity 0.75 share no band once in 200,000 times
 SIMILAR = (75, 100)
-# Members of a bucket that all others are compared with in one round. Once no more pairs than PAIRS_PER_CLASS for each class
-# are left between different components of a bucket, or fewer than one pair in WORTH was a link, the rest is joined by the
-# prefixes of its sets; these numbers only order the work.
-PIVOTS = 3
-PAIRS_PER_CLASS = 4
-WORTH = 50
+# A round of pivots is followed by the join of differences once that would look at no more pairs than LOOKS for each class, or
+# once another round has not halved them; these numbers only order the work.
+LOOKS = 100
 
 _SIGMA, _PI1, _PI2 = U(0x5851F42D4C957F2D), U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 
@@ -68,15 +65,14 @@ def signatures(values: np.ndarray, bounds: np.ndarray, coordinates: int = BANDS
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, set size, two set hashes and the band keys of every row."""
+    """doc_id, text_key, set size, two set hashes and the band keys of every row."""
     for batch in steps(batches):
         values, bounds = shingle_sets(*buffer_of(batch.column("text")))
         size = np.diff(bounds)
         full = np.flatnonzero(size)
-        s1, s2 = np.zeros(len(size), U), np.zeros(len(size), U)
+        s2 = np.zeros(len(size), U)
         keys = np.zeros((0, BANDS), U)
         if len(full):
-            s1[full] = np.add.reduceat(mix(values), bounds[full])
             s2[full] = np.add.reduceat(mix(values ^ _PI2), bounds[full])
             sig = signatures(values, np.append(bounds[full], bounds[-1]))
             keys = np.repeat(mix(np.arange(1, BANDS + 1, dtype=U))[None, :], len(full), 0)
@@ -85,16 +81,24 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.append(0, np.cumsum((size > 0) * BANDS)).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys.ravel().view(np.int64)))
         yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(size), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), bands],
-            ["doc_id", "n_shingles", "s1", "s2", "bands"],
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(size), pa.array(_set_hash(values, bounds).view(np.int64)), pa.array(s2.view(np.int64)), bands],
+            ["doc_id", "text_key", "n_shingles", "s1", "s2", "bands"],
         )
 
 
+def _set_hash(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each set, 0 for an empty one."""
+    out, full = np.zeros(len(bounds) - 1, U), np.flatnonzero(np.diff(bounds))
+    if len(full):
+        out[full] = np.add.reduceat(mix(values), bounds[full])
+    return out
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         values, bounds = shingle_sets(*buffer_of(batch.column("text")))
         sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
-        yield pa.record_batch([batch.column("doc_id"), sets], ["id", "set"])
+        yield pa.record_batch([batch.column("doc_id"), pa.array(_set_hash(values, bounds).view(np.int64)), sets], ["doc_id", "s1", "set"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -111,118 +115,140 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _close(a: str, b: str) -> Column:
-    """Whether two set sizes allow the similarity at all."""
-    return SIMILAR[1] * F.least(a, b) >= SIMILAR[0] * F.greatest(a, b)
-
-
 def _full_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) of the given documents."""
-    texts = documents.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return settle(texts.mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"]))
-
-
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(SIMILAR[1] * shared >= SIMILAR[0] * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    """(id, set) of the given classes, each from one of its documents."""
+    texts = documents.join(ids.select(F.col("id.doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets, "doc_id long, s1 long, set array<long>")
+    return settle(sets.select(F.struct("doc_id", "s1").alias("id"), "set").join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
 
-def _open_buckets(bands: DataFrame, label: DataFrame | None) -> tuple[DataFrame, int]:
-    """Rows of the buckets in which more than one component is left, with their component; pairs of components' members."""
-    rows = bands
-    if label is not None:
+def _open_buckets(bands: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Rows (key, id, comp) of the buckets in which more than one component is left."""
+    if label is None:
+        mixed = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        rows = bands
+    else:
         rows = skew_join(bands.drop("comp"), label, ["id"], [F.col("key")], "left").withColumn("comp", F.coalesce("comp", "id"))
-    counted = rows.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("kinds"), F.sum("m").alias("m"), F.sum(F.col("m") ** 2).alias("sq"))
-    mixed = settle(counted.where("kinds > 1").select("key", ((F.col("m") ** 2 - F.col("sq")) / 2).alias("pairs")))
-    total = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-    return settle(skew_join(rows, mixed.select("key"), ["key"], [F.col("id")], "left_semi")), int(total)
-
-
-def _pivots(rows: DataFrame, turn: int) -> DataFrame:
-    """Up to PIVOTS members (b) of every bucket, by as many random orders that all buckets share."""
-    picks = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PIVOTS + i)), F.col("id").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))) for i in range(PIVOTS)]
-    chosen = rows.groupBy("key").agg(*[p.alias(f"p{i}") for i, p in enumerate(picks)])
-    each = F.array(*[F.struct(f"p{i}.b", f"p{i}.n2", f"p{i}.comp2") for i in range(PIVOTS)])
-    return settle(chosen.select("key", F.inline(F.array_distinct(each))))
+        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    return settle(skew_join(rows, mixed.select("key"), ["key"], [F.col("id")], "left_semi"))
 
 
-def _prefix_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components among the given documents that share a shingle of their prefixes.
+def _differences(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every member of an open bucket against the bucket's pivot, and the pivots (key, id).
 
-    Shingles are ordered by how rarely these documents hold them. A set similar enough to another shares at least 3/4 of its
-    shingles with it, hence one of the rarest n - ceil(3 n / 4) + 1: nothing is lost. Pairs whose shared shingles cannot be
-    enough by the places of the common one in both orders are left out, so that documents of a large group do not all meet.
+    The pivot is the member that shares most buckets with most others: the least changed one of a group of copies, to which
+    most are similar and from which all differ by their own changes only. All buckets use one order, so a member meets few
+    different pivots. Rows: (id, p, n, m, d) with n shingles in p; d holds the m ones that only p has, and those that only
+    the member has, negated.
     """
-    own = rows.select("id", "n", "comp").distinct()
-    tokens = sets.join(own, "id").select("id", "n", "comp", F.explode("set").alias("t"))
-    common = settle(tokens.groupBy("t").agg(F.count("*").alias("f")).where("f > 1"))
-    held = skew_join(tokens, common, ["t"], [F.col("id")]).groupBy("id", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s"))
-    length = F.col("n") - F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]) + 1 - (F.col("n") - F.size("s"))
-    prefix = held.where(length > 0).select("id", "n", "comp", F.size("s").alias("m"), F.posexplode(F.slice("s", F.lit(1), length.cast("int"))).alias("k", "x"))
-    prefix = prefix.select("id", "n", "comp", "x.t", "k", (F.col("m") - F.col("k")).alias("after"))
-    prefix = settle(prefix)
-    mixed = prefix.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t")
-    prefix = settle(prefix.join(mixed, "t", "left_semi"))
-    other = prefix.select("t", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("k").alias("k2"), F.col("after").alias("after2"))
-    most = F.least("after", "after2") + F.least("k", "k2")  # shared shingles from here on, and before
-    enough = most * (SIMILAR[0] + SIMILAR[1]) >= SIMILAR[0] * (F.col("n") + F.col("n2"))
-    met = prefix.withColumnRenamed("id", "a").join(other, "t").where("a < b and comp <> comp2")
-    return met.where(_close("n", "n2") & enough).select("a", "b").distinct()
+    sizes = rows.groupBy("key").agg(F.count("*").alias("b"))
+    met = skew_join(rows, sizes, ["key"], [F.col("id")]).groupBy("id").agg((-F.sum("b")).alias("b"))
+    placed = rows.select("key", "id").join(met, "id")
+    pivots = settle(placed.groupBy("key").agg(F.min(F.struct("b", F.xxhash64("id"), "id")).alias("o")).select("key", F.col("o.id").alias("p")))
+    pairs = skew_join(rows.select("key", "id"), pivots, ["key"], [F.col("id")]).where("id <> p").select("id", "p").distinct()
+    met = skew_join(pairs, sets.withColumnRenamed("set", "sx"), ["id"], [F.col("p")])
+    met = skew_join(met, sets.select(F.col("id").alias("p"), F.col("set").alias("sp")), ["p"], [F.col("id")])
+    lost, new = F.array_except("sp", "sx"), F.transform(F.array_except("sx", "sp"), lambda t: F.bitwise_not(t))
+    return settle(met.select("id", "p", F.size("sp").alias("n"), F.size(lost).alias("m"), F.concat(lost, new).alias("d"))), pivots.select("key", F.col("p").alias("id"))
+
+
+# Of p's n shingles a member lacks m and has e others: it is similar enough to p if its weight 4 m + 3 e is at most n. Two
+# members of weights w and w2 that share c places of their differences are if 7 c >= w + w2 - n.
+_WEIGHT = "4 * m + 3 * (size(d) - m)"
+assert SIMILAR == (75, 100)  # the weights follow from it
+
+
+def _difference_tokens(met: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Prefixes of the differences of members in different components of one pivot's group.
+
+    Two members joined to the pivot are in one component already, so one of a pair weighs more than n, and the other shares
+    at least (w + 1) / 7 of its difference; one that weighs more than n shares at least (w + 1) / 7 with another such, and at
+    least (w + least - n) / 7 with a joined one, of which ``least`` is the lightest. Differences are ordered by how many
+    members share them; what only one component holds comes first and is left out, as no pair shares it. The prefixes that
+    must then meet: ``short`` for any pair, up to ``long`` with joined members.
+    """
+    rows = met.withColumn("w", F.expr(_WEIGHT))
+    rows = rows.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")) if label is not None else rows.withColumn("comp", F.col("id"))
+    group = rows.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.expr("if(w <= n, w, null)")).alias("least"))
+    rows = skew_join(rows, group.where("lo < hi").select("p", "least"), ["p"], [F.col("id")])
+    rows = rows.withColumns({"short": F.expr("cast(ceil((w + 1) / 7) as int)"), "joined": F.col("w") <= F.col("n")})
+    rows = rows.withColumn("long", F.expr("if(joined or least is null, short, greatest(1, least(short, cast(ceil((w + least - n) / 7) as int))))"))
+    tokens = rows.select("p", "id", "comp", "n", "w", "short", "long", "joined", F.explode("d").alias("t"))
+    common = tokens.groupBy("p", "t").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("p", "t", "f")
+    keys = ["p", "id", "comp", "n", "w", "short", "long", "joined"]
+    held = skew_join(tokens, common, ["p", "t"], [F.col("id")]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s"))
+    held = held.withColumns({"size": F.size("s"), "short": F.expr("size(s) - short + 1"), "long": F.expr("size(s) - long + 1")})
+    prefix = held.where("long > 0").select(*keys, "size", F.posexplode(F.expr("slice(s, 1, long)")).alias("k", "x"))
+    return settle(prefix.select("p", "x.t", "id", "comp", "n", "w", "joined", (F.col("k") < F.col("short")).alias("early"), "k", (F.col("size") - F.col("k")).alias("after")))
+
+
+def _meetings(prefix: DataFrame) -> int:
+    """Pairs of rows of different components that the join of differences would look at."""
+    each = prefix.groupBy("p", "t", "comp").agg(F.count("*").alias("c")).groupBy("p", "t").agg(F.sum("c").alias("s"), F.sum(F.col("c") ** 2).alias("q"))
+    return int(each.agg(F.coalesce(F.sum((F.col("s").cast("double") ** 2 - F.col("q")) / 2), F.lit(0.0))).first()[0])
+
+
+def _difference_links(prefix: DataFrame, met: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a pivot's group, confirmed on their whole differences."""
+    other = prefix.select("p", "t", *[F.col(c).alias(c + "2") for c in ("id", "comp", "w", "joined", "early", "k", "after")])
+    # Shared from this place on, and before it, in both orders.
+    most = F.least("after", "after2") + F.least("k", "k2")
+    enough = 7 * most >= F.col("w") + F.col("w2") - F.col("n")
+    pairs = prefix.join(other, ["p", "t"]).where("id < id2 and comp <> comp2 and (early or joined2) and (early2 or joined)").where(enough)
+    pairs = settle(pairs.groupBy("id", "id2").agg(F.min("p").alias("p")))
+    weighed = met.select("p", "id", "n", "d", F.expr(_WEIGHT).alias("w"))
+    both = skew_join(pairs, weighed, ["p", "id"], [F.col("id2")])
+    both = skew_join(both, weighed.select("p", F.col("id").alias("id2"), F.col("d").alias("d2"), F.col("w").alias("w2")), ["p", "id2"], [F.col("id")])
+    return both.where(7 * F.size(F.array_intersect("d", "d2")) >= F.col("w") + F.col("w2") - F.col("n")).select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row per row of ``documents``.
-
-    Texts with the same set are one class, known by its smallest id. Classes that share a band key meet in buckets. No bucket
-    is expanded into pairs while its members can still be joined through a few of them: each round compares every member with
-    PIVOTS members of its bucket, drops these, and goes on with the buckets that still hold several components; when few pairs
-    between different components are left, or a round hardly joins any more, a prefix-filtered join finds the links among the
-    documents still in such buckets, without a loss. Links are confirmed on full
-    sets of 64-bit shingle hashes. Null and wordless texts and rows without an id are linked with nothing (component: their
-    own id). Rows sharing a doc_id are judged by their own text. An empty table gives an empty result.
+    """doc_id, n_shingles, component_id, kept, component_set, text_key; one row per row of ``documents``.
+
+    Texts with the same set are one class, known by its smallest doc_id and the set's hash. Classes that share a band key meet
+    in buckets. No bucket is expanded into pairs: in a round every member is compared with one pivot of its bucket, on full
+    sets of 64-bit shingle hashes, and joined to it if similar enough. Members of one pivot's group that are still in different
+    components are then joined by what they differ in from the pivot, with prefix and place filters and without a loss: copies
+    of one text share most shingles, but few of their changes. While that join would still look at many pairs, as members that
+    resemble each other but not the pivot make, another round takes a new pivot in each open bucket first.
+
+    Null and wordless texts and rows without an id are linked with nothing (component: their own id). Rows sharing a doc_id
+    are judged by their own text; ``component_set`` tells their components apart and ``text_key``, a hash of the text, the
+    rows. Repeated rows give equal rows, other columns are not read, an empty table gives an empty result.
     """
-    rows = documents.select(F.col("doc_id").cast("long"), "text")
-    docs = settle(rows.mapInArrow(_sketch, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    docs = settle(rows.mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, s1 long, s2 long, bands array<long>"))
     named = docs.where("n_shingles > 0 and doc_id is not null")
-    reps = settle(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    bands = reps.select(F.explode("bands").alias("key"), "id", "n", F.col("id").alias("comp"))
+    reps = settle(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    reps = reps.withColumn("id", F.struct("doc_id", "s1"))
     classes = reps.count()
-    open_rows, left = _open_buckets(bands, None)
-    sets = _full_sets(rows, open_rows.select("id").distinct())
-    links = label = None
-    turn, merged = 0, True
-    while left:
-        last = left <= PAIRS_PER_CLASS * classes or not merged
-        if last:
-            pairs = _prefix_pairs(open_rows, sets)
-        else:
-            pivot = _pivots(open_rows, turn)
-            met = skew_join(open_rows, pivot, ["key"], [F.col("id")])
-            pairs = met.where("comp <> comp2").where(_close("n", "n2")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-            gone = pivot.select("key", F.col("b").alias("id"))
-            open_rows = open_rows.join(gone, ["key", "id"], "left_anti")
-        pairs = settle(pairs)
-        new = settle(_verify(pairs, sets))
-        n_new = new.count()
-        merged = n_new * WORTH > pairs.count()
-        if n_new:
+    open_rows = _open_buckets(reps.select(F.explode("bands").alias("key"), "id", F.col("id").alias("comp")), None)
+    sets = _full_sets(rows.select("doc_id", "text"), open_rows.select("id").distinct())
+    links = label = before = None
+    while not open_rows.isEmpty():
+        met, pivots = _differences(open_rows, sets)
+        new = settle(met.where(f"{_WEIGHT} <= n").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
+        if not new.isEmpty():
             links = new if links is None else settle(links.union(new))
             label = components(links)
-        if last:
+        prefix = _difference_tokens(met, label)
+        looks = _meetings(prefix)
+        if looks <= LOOKS * classes or before is not None and 2 * looks > before:
+            more = settle(_difference_links(prefix, met))
+            if not more.isEmpty():
+                links = more if links is None else settle(links.union(more))
+                label = components(links)
             break
-        turn += 1
-        open_rows, left = _open_buckets(open_rows, label)
+        before = looks
+        open_rows = _open_buckets(open_rows.join(pivots, ["key", "id"], "left_anti"), label)
     group = reps.select("s1", "s2", "id")
-    if label is not None:
-        group = group.join(label, "id", "left").select("s1", "s2", F.coalesce("comp", "id").alias("component_id"))
-    else:
-        group = group.withColumnRenamed("id", "component_id")
-    linked = F.when(F.col("n_shingles") > 0, F.col("doc_id"))  # without an id or words: joined with nothing
-    narrow = docs.select("doc_id", "n_shingles", F.when(linked.isNotNull(), F.col("s1")).alias("s1"), "s2")
+    group = group.join(label, "id", "left") if label is not None else group.withColumn("comp", F.lit(None).cast("struct<doc_id:bigint,s1:bigint>"))
+    group = group.select("s1", "s2", F.coalesce("comp", "id").alias("comp"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()  # without an id or words: joined with nothing
+    narrow = docs.select("doc_id", "text_key", "n_shingles", F.when(linked, F.col("s1")).alias("s1"), "s2")
     joined = skew_join(narrow, settle(group), ["s1", "s2"], [F.col("doc_id")], "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
-        "kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    return joined.select(
+        "doc_id", "n_shingles", F.coalesce("comp.doc_id", "doc_id").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.col("comp.doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce("comp.s1", "text_key").alias("component_set"), "text_key",
     )
