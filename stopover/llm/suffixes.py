@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +18,7 @@ from stopover.session import skew_join
 
 SIZE = 400
 GRAM = 32  # bytes of an anchor; each window's anchor is its byte string of this length with the smallest hash
-PLACES = SIZE - GRAM + 1
-RANGES = 4  # windows of an anchor are told apart by the quarter of PLACES in which the anchor lies
-RANGE = -(-PLACES // RANGES)
+RANGE = 93  # windows of an anchor are told apart by the part, of about so many places, in which the anchor lies
 # Difference cover: any two places have a distance under COVER to places that both lie in it.
 ROOT = 8
 COVER = ROOT * ROOT
@@ -27,6 +27,23 @@ BLOCK_BYTES = 4_000_000
 BUCKET = 1 << 17
 HOT_SEGMENTS = 2_000
 
+
+
+@dataclass(frozen=True)
+class Window:
+    """Windows of ``size`` bytes, the places their anchor can have, and how many of these count as one part."""
+
+    size: int = SIZE
+
+    @property
+    def places(self) -> int:
+        return self.size - GRAM + 1
+
+    @property
+    def range(self) -> int:
+        return -(-self.places // max(round(self.places / RANGE), 1))
+
+
 _BASES = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
 _CODES = mix(np.arange(1, 257, dtype=U))
 
@@ -41,7 +58,7 @@ class _Hashes:
         have = self.powers.get(which)
         if have is None or len(have[0]) < n:
             inverse = U(pow(int(base), -1, 1 << 64))
-            have = self.powers[which] = tuple(np.multiply.accumulate(np.append(U(1), np.full(max(n, STEP_BYTES + 2 * SIZE), b))) for b in (base, inverse))
+            have = self.powers[which] = tuple(np.multiply.accumulate(np.append(U(1), np.full(max(n, STEP_BYTES + 4 * SIZE), b))) for b in (base, inverse))
         self.down = have[1]
         self.sums = np.zeros(n, U)
         np.cumsum(_CODES[data] * have[0][: n - 1], out=self.sums[1:])
@@ -59,7 +76,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[:n], head[width - 1 : width - 1 + n])
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _slices(batch: pa.RecordBatch, w: Window) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, row bounds, document of each row, place of each row in its document); very long texts in overlapping rows."""
     data, bounds = buffer_of(batch.column("text"))
     doc = batch.column("doc").to_numpy()
@@ -68,66 +85,66 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         return
     for i in range(len(doc)):
         for a in range(bounds[i], bounds[i + 1], STEP_BYTES):
-            part = data[a : min(a + STEP_BYTES + SIZE - 1, bounds[i + 1])]
+            part = data[a : min(a + STEP_BYTES + w.size - 1, bounds[i + 1])]
             yield part, np.array([0, len(part)]), doc[i : i + 1], np.array([a - bounds[i]])
 
 
-def _segments(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
+def _segments(data: np.ndarray, bounds: np.ndarray, w: Window = Window()) -> dict[str, np.ndarray]:
     """Maximal runs of windows of one row whose anchor is the same and lies in the same range.
 
     ``key`` hashes the bytes that all windows of that range share around the anchor, ``d`` the bytes of the run itself.
     Equal windows always fall into runs with equal keys, at the same distance from the anchor.
     """
-    n = max(len(data) - SIZE + 1, 0)
+    n = max(len(data) - w.size + 1, 0)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    valid = row[:n] == row[SIZE - 1 :] if n else np.zeros(0, bool)
+    valid = row[:n] == row[w.size - 1 :] if n else np.zeros(0, bool)
     if not valid.any():
         empty = np.zeros(0, np.int64)
         return {"key": empty.view(U), "d": empty.view(U), "row": empty, "start": empty, "n": empty, "o": empty}
     one, two = _Hashes(data, 0), _Hashes(data, 1)
     at = np.arange(len(data) - GRAM + 1)
     gram = one.of(at, at + GRAM) & U(0xFFFFFFFF00000000) | at.astype(U)
-    anchor = (_sliding_min(gram, PLACES)[:n] & U(0xFFFFFFFF)).astype(np.int64)
+    anchor = (_sliding_min(gram, w.places)[:n] & U(0xFFFFFFFF)).astype(np.int64)
     place = np.arange(n)
-    part = (anchor - place) // RANGE
+    part = (anchor - place) // w.range
     new = np.ones(n, bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]) | (row[1:n] != row[: n - 1]) | (valid[1:] != valid[:-1])
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, n))
     start, size = start[valid[start]], size[valid[start]]
     a, r = anchor[start], part[start]
-    low = r * RANGE
-    high = np.minimum(low + RANGE, PLACES) - 1
+    low = r * w.range
+    high = np.minimum(low + w.range, w.places) - 1
     o = a - start
     return {
-        "key": mix(one.of(a - low, a - high + SIZE) + r.astype(U)), "d": mix(two.of(start, start + size - 1 + SIZE) ^ (o * PLACES + size).astype(U)),
+        "key": mix(one.of(a - low, a - high + w.size) + r.astype(U)), "d": mix(two.of(start, start + size - 1 + w.size) ^ (o * w.places + size).astype(U)),
         "row": row[start], "start": start - bounds[row[start]], "n": size, "o": o,
     }
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segment_rows(batches: Iterator[pa.RecordBatch], w: Window) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
-        for data, bounds, doc, base in _slices(batch):
-            s = _segments(data, bounds)
+        for data, bounds, doc, base in _slices(batch, w):
+            s = _segments(data, bounds, w)
             yield pa.record_batch(
                 [pa.array(s["key"].view(np.int64)), pa.array(s["d"].view(np.int64)), pa.array(doc[s["row"]]), pa.array(s["start"] + base[s["row"]]), pa.array((s["o"] << 16 | s["n"]).astype(np.int32))],
                 ["key", "d", "doc", "start", "on"],
             )
 
 
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contents(batches: Iterator[pa.RecordBatch], w: Window) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted segments of each text; ``d`` is checked, should rows share an id."""
     for batch in steps(batches):
         data, bounds = buffer_of(batch.column("text"))
         out: dict[str, list] = {k: [] for k in ("key", "d", "o", "n", "open", "doc", "start", "bytes")}
         for i, wanted in enumerate(batch.column("wanted").to_pylist()):
-            for w in wanted:
-                n, o = w["on"] & 0xFFFF, w["on"] >> 16
-                a = bounds[i] + w["start"]
-                part = data[a : min(a + n - 1 + SIZE, bounds[i + 1])]
-                if len(part) < n - 1 + SIZE or (mix(_Hashes(part, 1).of(np.array([0]), np.array([len(part)])) ^ U(o * PLACES + n)).view(np.int64)[0] != w["d"]):
+            for x in wanted:
+                n, o = x["on"] & 0xFFFF, x["on"] >> 16
+                a = bounds[i] + x["start"]
+                part = data[a : min(a + n - 1 + w.size, bounds[i + 1])]
+                if len(part) < n - 1 + w.size or (mix(_Hashes(part, 1).of(np.array([0]), np.array([len(part)])) ^ U(o * w.places + n)).view(np.int64)[0] != x["d"]):
                     continue
-                for k, v in zip(out, (w["key"], w["d"], o, n, w["open"], batch.column("doc")[i].as_py(), w["start"], part.tobytes()), strict=True):
+                for k, v in zip(out, (x["key"], x["d"], o, n, x["open"], batch.column("doc")[i].as_py(), x["start"], part.tobytes()), strict=True):
                     out[k].append(v)
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
         yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
@@ -237,7 +254,7 @@ def repeated_windows(text: np.ndarray, place: np.ndarray, size: int = SIZE) -> n
     return out
 
 
-def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_blocks(batches: Iterator[pa.RecordBatch], w: Window) -> Iterator[pa.RecordBatch]:
     """Spans (doc, start, n) of repeated windows in the open segments; rows come sorted by key, keys stay together."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -252,7 +269,7 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             base[i] = len(text)
             text += part
         place = np.repeat(base - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        found = repeated_windows(np.frombuffer(bytes(text), np.uint8), place)
+        found = repeated_windows(np.frombuffer(bytes(text), np.uint8), place, w.size)
         own = np.repeat(np.arange(len(parts)), n)
         found &= np.asarray(block["open"].to_numpy(zero_copy_only=False), bool)[own]
         change = np.ones(len(place), bool)
@@ -289,19 +306,19 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield work()
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_rows(batches: Iterator[pa.RecordBatch], w: Window) -> Iterator[pa.RecordBatch]:
     """Every window of the segments of hot keys by two hashes."""
     for batch in batches:
         for i in range(batch.num_rows):
             part = np.frombuffer(batch.column("bytes")[i].as_py(), np.uint8)
             n = batch.column("n")[i].as_py()
             at = np.arange(n)
-            w1, w2 = (_Hashes(part, k).of(at, at + SIZE).view(np.int64) for k in (0, 1))
+            w1, w2 = (_Hashes(part, k).of(at, at + w.size).view(np.int64) for k in (0, 1))
             same = [pa.array([batch.column(c)[i].as_py()] * n, batch.column(c).type) for c in ("doc", "open")]
             yield pa.record_batch([pa.array(w1), pa.array(w2), *same, pa.array(at + batch.column("start")[i].as_py())], ["w1", "w2", "doc", "open", "at"])
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], w: Window) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         data, bounds = buffer_of(batch.column("text"))
         removed, runs, digest, text = [], [], [], []
@@ -309,7 +326,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = data[bounds[i] : bounds[i + 1]]
             if spans:
                 a = np.array([s["start"] for s in spans])
-                b = np.minimum(a + np.array([s["n"] for s in spans]) - 1 + SIZE, len(part))
+                b = np.minimum(a + np.array([s["n"] for s in spans]) - 1 + w.size, len(part))
                 a, b = a[b > a], b[b > a]
                 change = np.bincount(a, minlength=len(part) + 1) - np.bincount(b, minlength=len(part) + 1)
                 gone = np.cumsum(change[:-1]) > 0
@@ -332,16 +349,16 @@ def _doc() -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "text")
 
 
-def repeated_spans(documents: DataFrame) -> DataFrame:
-    """(doc, spans), doc as in ``_doc``, with spans (start, n): runs of windows of SIZE bytes that also start anywhere else.
+def repeated_spans(documents: DataFrame, w: Window = Window()) -> DataFrame:
+    """(doc, spans), doc as in ``_doc``, with spans (start, n): runs of windows of w.size bytes that also start anywhere else.
 
     1. Every window belongs to a segment by its anchor. Keys that occur once have no repeated window.
     2. Keys whose segments are all equal, and segments that occur twice, are repeated as a whole.
     3. One text of each other distinct segment goes, with those of its key, into the suffix sort of a block.
     4. Keys with more than HOT_SEGMENTS distinct segments have their windows counted by hash instead, spread over all tasks.
     """
-    rows = documents.select(_doc().alias("doc"), "text").where(F.octet_length("text") >= SIZE)
-    segments = rows.mapInArrow(_segment_rows, "key long, d long, doc long, start long, on int")
+    rows = documents.select(_doc().alias("doc"), "text").where(F.octet_length("text") >= w.size)
+    segments = rows.mapInArrow(partial(_segment_rows, w=w), "key long, d long, doc long, start long, on int")
     keys = segments.groupBy("key").agg(F.count("*").alias("c"), F.min("d").alias("lo"), F.max("d").alias("hi")).where("c > 1")
     keys = settle(keys.select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
     shared = settle(skew_join(segments, keys, ["key"], [F.col("doc")]))
@@ -353,28 +370,30 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     wanted = kinds.join(per_key, "key").select("s.doc", F.struct("key", "d", "s.start", "s.on", (F.col("c") == 1).alias("open")).alias("w"), "kinds")
     texts = rows.join(wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted")), "doc")
     shape = "key long, d long, o int, n int, open boolean, doc long, start long, bytes binary"
-    contents = settle(texts.mapInArrow(_contents, shape))
+    contents = settle(texts.mapInArrow(partial(_contents, w=w), shape))
     hot = per_key.where(F.col("kinds") > HOT_SEGMENTS).select("key")
     cold = contents.join(hot, "key", "left_anti")
-    blocks = max(contents.sparkSession.sparkContext.defaultParallelism, contents.count() * (SIZE + RANGE) // (4 * BLOCK_BYTES) + 1)
-    spans.append(cold.repartition(int(blocks), "key").sortWithinPartitions("key").mapInArrow(_sorted_blocks, "doc long, start long, n int"))
-    windows = settle(skew_join(contents, hot, ["key"], [F.col("doc")], "left_semi").mapInArrow(_window_rows, "w1 long, w2 long, doc long, open boolean, at long"))
+    blocks = max(contents.sparkSession.sparkContext.defaultParallelism, contents.count() * (w.size + w.range) // (4 * BLOCK_BYTES) + 1)
+    spans.append(cold.repartition(int(blocks), "key").sortWithinPartitions("key").mapInArrow(partial(_sorted_blocks, w=w), "doc long, start long, n int"))
+    windows = settle(skew_join(contents, hot, ["key"], [F.col("doc")], "left_semi").mapInArrow(partial(_window_rows, w=w), "w1 long, w2 long, doc long, open boolean, at long"))
     twice = settle(windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2"))
     spans.append(skew_join(windows.where("open"), twice, ["w1", "w2"], [F.col("doc")], "left_semi").select("doc", F.col("at").alias("start"), F.lit(1).alias("n")))
     return settle(spans[0].union(spans[1]).union(spans[2]).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
 
 
-def drop_repeated_strings(documents: DataFrame) -> DataFrame:
+def drop_repeated_strings(documents: DataFrame, size: int = SIZE) -> DataFrame:
     """``documents`` with n_bytes, n_removed, n_spans, kept_sha256 and kept_text (what is left; cut characters drop out).
 
+    Bytes covered by a string of ``size`` bytes (2 x GRAM at least) that also starts elsewhere go, in all places alike.
     A null text is empty. Occurrences in rows repeated in full count; rows without an id, or that
     share one with different texts, lose the places of their own text. An empty table gives an empty result; clashing columns are replaced.
     """
     new = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+    w = Window(size)
     rows = documents.drop(*new).withColumn("doc", _doc())
-    joined = rows.join(repeated_spans(documents), "doc", "left").drop("doc")
+    joined = rows.join(repeated_spans(documents, w), "doc", "left").drop("doc")
     carried = [c for c in joined.columns if c not in ("text", "spans")]
     packed = joined.select(F.struct(*carried).alias("_row"), "text", "spans")
     row = packed.schema["_row"].dataType.simpleString()
-    out = packed.mapInArrow(_kept, f"_row {row}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    out = packed.mapInArrow(partial(_kept, w=w), f"_row {row}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return out.select("_row.*", *new)
