@@ -591,25 +591,33 @@ def final_assignment(merged: DataFrame) -> DataFrame:
     return merged.where("accepted").groupBy("conv", "post_id").agg(F.max_by("assign", order).alias("assign"))
 
 
-def request_rows(posts: DataFrame, assigned: DataFrame, chunk: int, mode: str = "full") -> DataFrame:
-    """Request of one chunk per conversation: new posts, earlier posts shown, topic sizes, as JSON.
+def request_rows(posts: DataFrame, assigned: DataFrame, chunk: int | None = None, mode: str = "full") -> DataFrame:
+    """Requests of one chunk, or of every chunk (None), per conversation: new posts, earlier posts shown, topic sizes, as JSON.
 
-    Full mode shows all earlier posts with their topic, narrow mode the last three per topic.
+    Full mode shows all earlier posts with their topic, narrow mode the last three per topic, which keeps a request small
+    however long the conversation is. Only earlier posts that are assigned are shown.
     """
-    posts = posts.select("conv", "seq", "post_id", "author", "reply_to", "text")
-    new = posts.where((F.floor(F.col("seq") / CHUNK) + 1) == chunk)
-    done = posts.where(F.col("seq") < (chunk - 1) * CHUNK).join(assigned, ["conv", "post_id"])
+    number = (F.floor(F.col("seq") / CHUNK) + 1).cast("int")
+    posts = posts.select("conv", "seq", "post_id", "author", "reply_to", "text", number.alias("own"))
+    asked = posts.select("conv", F.col("own").alias("chunk")).distinct() if chunk is None else posts.select("conv", F.lit(chunk).alias("chunk")).distinct()
+    new = posts.withColumn("chunk", F.col("own")).join(asked, ["conv", "chunk"], "left_semi")
+    by = ["conv", "chunk"]
+    placed = posts.join(assigned, ["conv", "post_id"])
     if mode == "narrow":
-        w = Window.partitionBy("conv", "assign").orderBy(F.desc("seq"))
-        shown = done.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= NARROW)
+        # Of one chunk only its last three posts of a topic can ever be shown.
+        w = Window.partitionBy("conv", "own", "assign").orderBy(F.desc("seq"))
+        last = placed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= NARROW).drop("_r")
+        w = Window.partitionBy(*by, "assign").orderBy(F.desc("seq"))
+        shown = last.join(asked, "conv").where("own < chunk").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= NARROW)
     else:
-        shown = done
-    sizes = done.where(F.col("assign") != OFF).groupBy("conv", "assign").agg(F.count(F.lit(1)).alias("n"))
+        shown = placed.join(asked, "conv").where("own < chunk")
+    counted = placed.where(F.col("assign") != OFF).groupBy("conv", "own", "assign").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counted.join(asked, "conv").where("own < chunk").groupBy(*by, "assign").agg(F.sum("n").alias("n"))
 
     def packed(df: DataFrame, cols: list[str], order: str, name: str) -> DataFrame:
         items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*cols).alias("p"))))
-        return df.groupBy("conv").agg(F.to_json(F.transform(items, lambda x: x["p"])).alias(name))
+        return df.groupBy(*by).agg(F.to_json(F.transform(items, lambda x: x["p"])).alias(name))
 
     out = packed(new, ["post_id", "author", "reply_to", "text"], "seq", "new_posts")
-    out = out.join(packed(shown, ["post_id", "author", "reply_to", "text", "assign"], "seq", "shown"), "conv", "left")
-    return out.join(packed(sizes, ["assign", "n"], "assign", "topic_sizes"), "conv", "left").withColumn("chunk", F.lit(chunk))
+    out = out.join(packed(shown, ["post_id", "author", "reply_to", "text", "assign"], "seq", "shown"), by, "left")
+    return out.join(packed(sizes, ["assign", "n"], "assign", "topic_sizes"), by, "left")

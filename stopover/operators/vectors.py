@@ -233,9 +233,9 @@ def exact_search(queries: DataFrame, item_subject: DataFrame, limit: int = 5) ->
     """
     hits = contains_join(queries, item_subject.select("normalized_name").distinct(), "qid", "text", "normalized_name")
     scores = (
-        hits.join(item_subject, "normalized_name")
+        hits.distinct().join(item_subject.select("item_id", "normalized_name").distinct(), "normalized_name")
         .groupBy("qid", "item_id")
-        .agg(F.countDistinct("normalized_name").cast("double").alias("score"))
+        .agg(F.count(F.lit(1)).cast("double").alias("score"))
     )
     return _ranked(scores, ["qid"], limit)
 

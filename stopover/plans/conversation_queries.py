@@ -132,8 +132,7 @@ def _(spark, sf):
 
 @query("sweep_v1")
 def _(spark, sf):
-    scores = topics.sweep_v1(_prepared(spark, sf), ctxs=("mean",), deltas=(0.02,), branches=(0, 2), seeds=2)
-    return topics.sweep_summary(scores)
+    return topics.sweep_summary(topics.sweep_v1(_prepared(spark, sf)))
 
 
 @query("reply_chains", f"""with recursive {S.CONVERSATIONS},
@@ -185,11 +184,24 @@ def _(spark, sf):
     return vectors.nearest_context(D.cut_lineage(posts.withColumn("embedding", ngram_vector(F.col("text")))), D.cut_lineage(ctx))
 
 
-@query("request_rows", f"{_P} select conv, count(*) filter (seq between 0 and 9) as new_posts from post group by 1")
+@query("request_rows", f"""{_P}, c as (select distinct conv, seq//10 + 1 as chunk from post),
+done as (select c.conv, c.chunk, p.post_id, p.seq, p.assign from c join post p on p.conv = c.conv and p.seq//10 + 1 < c.chunk),
+shown as (select conv, chunk, string_agg(post_id || ':' || assign, ',' order by seq) as shown from (select *, row_number() over (partition by conv, chunk, assign order by seq desc) as r from done) where r <= 3 group by 1, 2),
+sizes as (select conv, chunk, string_agg(assign || ':' || n, ',' order by assign) as sizes from (select conv, chunk, assign, count(*) as n from done where assign <> 'OFF' group by 1, 2, 3) group by 1, 2),
+fresh as (select conv, seq//10 + 1 as chunk, string_agg(post_id, ',' order by seq) as new_posts from post group by 1, 2)
+select conv, chunk::int as chunk, new_posts, shown, sizes from fresh left join shown using (conv, chunk) left join sizes using (conv, chunk)""")
 def _(spark, sf):
     posts = D.conversations(spark, sf)
-    out = topics.request_rows(posts, posts.select("conv", "post_id", "assign"), 1, "narrow")
-    return out.select("conv", F.size(F.from_json("new_posts", "array<struct<post_id:string>>")).cast("long").alias("new_posts"))
+    out = topics.request_rows(posts, posts.select("conv", "post_id", "assign"), None, "narrow")
+
+    def listed(column: str, fields: str, parts: list[str]):
+        rows = F.from_json(column, f"array<struct<{fields}>>")
+        return F.array_join(F.transform(rows, lambda x: F.concat_ws(":", *[x[p].cast("string") for p in parts])), ",")
+
+    return out.select(
+        "conv", "chunk", listed("new_posts", "post_id:string", ["post_id"]).alias("new_posts"),
+        listed("shown", "post_id:string,assign:string", ["post_id", "assign"]).alias("shown"), listed("topic_sizes", "assign:string,n:long", ["assign", "n"]).alias("sizes"),
+    )
 
 
 def _chunks(spark, sf):

@@ -343,13 +343,13 @@ def _(spark, sf):
     return out.withColumn("score", F.round("score", 9))
 
 
-_WORDS = "with w as materialized (select distinct item_id, word from (select item_id, unnest(string_split_regex(lower(text), '[^a-zA-Z]+')) as word from benchmark) where length(word) >= 8)"
+_WORDS = "with w as materialized (select distinct item_id, word from (select item_id, unnest(string_split_regex(lower(text), '[^a-zA-Z]+')) as word from benchmark) where length(word) >= 2)"
 
 
 def _words(spark, sf):
     b = D.table(spark, sf, "benchmark")
     return b.select("item_id", F.explode(F.split(F.lower("text"), "[^a-zA-Z]+")).alias("normalized_name")).where(
-        F.length("normalized_name") >= 8
+        F.length("normalized_name") >= 2
     ).distinct()
 
 
