@@ -240,6 +240,60 @@ def impact_summary(impact: DataFrame) -> DataFrame:
     return impact.groupBy("change").agg(F.count(F.lit(1)).alias("places"), F.avg("delta").alias("mean_delta"))
 
 
+def delta_report(deltas: DataFrame, by: list[str], step: float = 3.0, shares=(0.2, 0.5, 0.8)) -> DataFrame:
+    """Distribution of ``delta`` per group: pairs, mean, quantiles (p20 ..), and how many fall or rise by ``step`` or more, or neither."""
+    d = deltas.where(F.col("delta").isNotNull())
+    base = d.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("pairs"), F.avg("delta").alias("mean_delta"),
+        F.count(F.when(F.col("delta") <= -step, 1)).alias("nearer"), F.count(F.when(F.col("delta") >= step, 1)).alias("farther"),
+        F.count(F.when(F.abs("delta") < step, 1)).alias("same"),
+    )
+    quantiles = [F.max(F.when(F.col("share") == s, F.col("value"))).alias(f"p{round(s * 100)}") for s in shares]
+    if by:
+        return base.join(percentiles(d, by, "delta", list(shares), "rounded").groupBy(*by).agg(*quantiles), by)
+    one = percentiles(d, [], "delta", list(shares), "rounded").agg(*quantiles)
+    return base.withColumn("_k", F.lit(1)).join(one.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def pair_churn(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: pairs in both tables, gone, come, and the share of all pairs that changed sides."""
+    c = compare_candidates(before, after, keys).withColumnsRenamed({"only_a": "gone", "only_b": "come"})
+    return c.withColumn("churn", share((F.col("gone") + F.col("come")).cast("double"), F.col("both") + F.col("gone") + F.col("come")))
+
+
+def top_churn(before: DataFrame, after: DataFrame, by: str, item: str, cost: str, k: int = 10) -> DataFrame:
+    """The k cheapest items of each group in either table: (by, both, gone, come, moved).
+
+    ``moved`` counts items that stay among the k but change their place. Ties go by the item.
+    """
+    def ranked(df: DataFrame, name: str) -> DataFrame:
+        least = df.groupBy(by, item).agg(F.min(cost).alias("_c"))
+        w = Window.partitionBy(by).orderBy("_c", item)
+        return least.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k).select(by, item, name)
+
+    both = ranked(before, "_a").join(ranked(after, "_b"), [by, item], "full")
+    return both.groupBy(by).agg(
+        F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1)).alias("both"),
+        F.count(F.when(F.col("_b").isNull(), 1)).alias("gone"), F.count(F.when(F.col("_a").isNull(), 1)).alias("come"),
+        F.count(F.when(F.col("_a") != F.col("_b"), 1)).alias("moved"),
+    )
+
+
+def impact_report(before: DataFrame, after: DataFrame, step: float = 3.0, k: int = 10) -> DataFrame:
+    """One row on what another walking table changes: nearest walks of places, station-place pairs, and each station's k nearest places.
+
+    ``before``, ``after``: (group_code, spot_id, walk_min), possibly several rows per pair.
+    """
+    places = delta_report(access_impact(before, after, step), [], step)
+    pairs = pair_churn(before, after, ["group_code", "spot_id"]).select(*[F.col(c).alias(f"pairs_{c}") for c in ("both", "gone", "come", "churn")])
+    tops = top_churn(before, after, "group_code", "spot_id", "walk_min", k).agg(
+        F.count(F.lit(1)).alias("stations"), F.count(F.when(F.col("gone") + F.col("come") > 0, 1)).alias("stations_changed"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"top_{c}") for c in ("both", "gone", "come", "moved")],
+    )
+    one = F.lit(1).alias("_k")
+    return places.select("*", one).join(pairs.select("*", one), "_k").join(tops.select("*", one), "_k").drop("_k")
+
+
 def access_sources(access_points: DataFrame) -> DataFrame:
     """Sources of each place's access points, joined by a comma."""
     return access_points.groupBy("spot_id").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
@@ -259,14 +313,9 @@ def pairwise_deltas(walks: DataFrame) -> DataFrame:
     )
 
 
-def delta_matrix(walks: DataFrame, shares=(0.5, 0.9)) -> DataFrame:
-    """Pairs, mean and quantiles of the difference between every two variants."""
-    d = pairwise_deltas(walks)
-    base = d.groupBy("a", "b").agg(F.count(F.lit(1)).alias("pairs"), F.avg("delta").alias("mean_delta"))
-    p = percentiles(d, ["a", "b"], "delta", list(shares), "rounded").groupBy("a", "b").agg(
-        *[F.max(F.when(F.col("share") == s, F.col("value"))).alias(f"p{int(s * 100)}") for s in shares]
-    )
-    return base.join(p, ["a", "b"])
+def delta_matrix(walks: DataFrame, shares=(0.5, 0.9), step: float = 3.0) -> DataFrame:
+    """Pairs, mean, quantiles and three-way counts of the difference between every two variants."""
+    return delta_report(pairwise_deltas(walks), ["a", "b"], step, shares)
 
 
 # ------------------------------------------------------------------ supplied travel-time tables

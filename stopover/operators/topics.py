@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,11 +10,10 @@ from pyspark.sql import types as T
 
 from stopover.functions.rules import drop_replies
 from stopover.functions.stats import auc, best_threshold, prefix_sum, share
-from stopover.functions.text import NGRAM_DIM, bigram_matrix, gram_bucket, is_ack, is_question
+from stopover.functions.text import bigram_matrix, is_ack, is_question
 from stopover.operators.ordered import fold_in_order
+from stopover.operators.routing import OFF, V1, V2, Contexts, Talk, decide, unit, v1_end, v2_end
 
-OFF = "OFF"
-PENDING = "PENDING"
 DELTAS = (0.01, 0.02, 0.03)
 
 # Words that do not point to a topic.
@@ -56,203 +53,6 @@ def prepare_posts(posts: DataFrame, nouns=extract_nouns) -> DataFrame:
     )
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(v)
-    return v / n if n else v
-
-
-class Topic:
-    """Running context of a topic: enough to give its vector without keeping its texts.
-
-    The vector of the texts joined by a full stop is the sum of their 2-gram counts plus the
-    grams across each joint; the mean vector is a running sum of unit vectors.
-    """
-
-    def __init__(self):
-        self.n, self.tail = 0, ""
-        self.counts, self.units = np.zeros(NGRAM_DIM), np.zeros(NGRAM_DIM)
-        self.nouns: set[str] = set()
-        self.gold: Counter = Counter()
-        self.last_id = None
-
-    def add(self, post: dict) -> None:
-        own = np.asarray(post["counts"])
-        self.units += _unit(own)
-        whole = own if post["chars"] > 1 else np.zeros(NGRAM_DIM)
-        if self.n == 0:
-            self.single = own
-        else:
-            self.counts[gram_bucket(self.tail + "。")] += 1.0
-            self.counts[gram_bucket("。" + post["head"])] += 1.0
-        self.counts += whole
-        self.tail, self.n, self.last_id = post["tail"], self.n + 1, post["post_id"]
-        self.nouns |= set(post["nouns"])
-        self.gold[_primary(post)] += 1
-
-    def vector(self, ctx: str) -> np.ndarray:
-        if ctx == "mean":
-            return _unit(self.units / self.n)
-        return _unit(self.single if self.n == 1 else self.counts)
-
-
-def _primary(post: dict) -> str:
-    return post["topics"][0] if len(post["topics"]) else OFF
-
-
-class Router:
-    """State shared by both routers: topics, placements and what was deferred."""
-
-    def __init__(self):
-        self.topics: dict[str, Topic] = {}
-        self.made = 0
-        self.assign: dict[str, str] = {}
-        self.waiting: dict[str, dict] = {}
-        self.firm: set[str] = set()
-        self.held: dict[str, dict] = {}
-        self.cfg: dict = {}
-
-    def new_topic(self) -> str:
-        self.made += 1
-        return f"t{self.made}"
-
-    def sims(self, post: dict) -> list[tuple[float, str]]:
-        v = _unit(np.asarray(post["counts"]))
-        ctx = self.cfg["ctx"]
-        return sorted(((float(v @ t.vector(ctx)), k) for k, t in self.topics.items()), reverse=True)
-
-    def put(self, post: dict, topic: str, why: str, deferred: bool = False) -> dict:
-        self.assign[post["post_id"]] = topic
-        if topic != OFF:
-            self.topics.setdefault(topic, Topic()).add(post)
-        return {"post_id": post["post_id"], "assign": topic, "reason": why, "deferred": deferred}
-
-    def defer(self, post: dict, why: str, fallback: str) -> dict:
-        """Deferred post: at the fallback, or where its gold topic is in oracle mode."""
-        return self.put(post, self.gold_topic(post) if self.cfg["oracle"] else fallback, why, True)
-
-    def gold_topic(self, post: dict) -> str:
-        g = _primary(post)
-        if g == OFF:
-            return OFF
-        for k, t in self.topics.items():
-            if t.gold.most_common(1)[0][0] == g:
-                return k
-        return self.new_topic()
-
-    def lead(self, ss: list[tuple[float, str]]) -> float:
-        return ss[0][0] - (ss[1][0] if len(ss) > 1 else -1.0)
-
-
-def _route_v1(r: Router, p: dict) -> list[dict]:
-    r.cfg = p
-    nouns, delta, branch = set(p["nouns"]), p["delta"], p["branch_k"]
-    known = [t for t in p["replies"] if t in r.assign]
-    if known:
-        pending = [t for t in known if r.assign[t] == PENDING]
-        if pending:
-            posts = [r.waiting.pop(t) for t in pending]
-            if p["oracle"]:
-                out = [r.defer(q, "pending, answered", OFF) for q in posts]
-                return [*out, r.defer(p, "answer to pending", OFF)]
-            topic = r.new_topic()
-            out = [r.put(q, topic, "pending, answered", True) for q in posts]
-            return [*out, r.put(p, topic, "answer to pending")]
-        cand = [r.assign[t] for t in known if r.assign[t] != OFF]
-        if not cand:
-            return [r.put(p, OFF, "target off topic")]
-        if p["is_ack"]:
-            return [r.put(p, cand[0], "acknowledgement")]
-        seen = set().union(*(t.nouns for t in r.topics.values()))
-        if branch and len(nouns - seen) >= branch:
-            return [r.defer(p, "branch", cand[0])]
-        ss = r.sims(p)
-        own = max(x for x in ss if x[1] in cand)
-        if ss[0][1] in cand or ss[0][0] - own[0] < delta:
-            return [r.put(p, own[1], "reply")]
-        return [r.defer(p, "another topic is closer", ss[0][1])]
-    if not r.topics:
-        return [r.put(p, r.new_topic(), "first post")]
-    overlap = {k for k, t in r.topics.items() if nouns & t.nouns}
-    if p["is_question"] or not overlap:
-        r.assign[p["post_id"]] = PENDING
-        r.waiting[p["post_id"]] = p
-        return []
-    ss = r.sims(p)
-    if r.lead(ss) >= delta and ss[0][1] in overlap:
-        return [r.put(p, ss[0][1], "vector and noun")]
-    return [r.defer(p, "small lead", ss[0][1])]
-
-
-def _finish_v1(r: Router) -> list[dict]:
-    out = []
-    for p in list(r.waiting.values()):
-        overlap = any(set(p["nouns"]) & t.nouns for t in r.topics.values())
-        out.append(r.defer(p, "pending at the end", r.sims(p)[0][1] if overlap else OFF))
-    return out
-
-
-def _by_vector(r: Router, p: dict) -> tuple[str, str, bool, bool]:
-    """(topic, reason, defer?, new?) of a post placed by similarity alone."""
-    ss = r.sims(p)
-    if not ss or ss[0][0] < p["th_new"]:
-        return r.new_topic(), "new topic", False, True
-    small = r.lead(ss) < p["delta"]
-    return ss[0][1], "small lead" if small else "vector", small, False
-
-
-def _settle(r: Router, topic: str) -> list[dict]:
-    """A tentative topic that gets a reply or a second post is firm; its first post can be published."""
-    held = r.held.pop(topic, None)
-    return [held["row"]] if held else []
-
-
-def _route_v2(r: Router, p: dict) -> list[dict]:
-    r.cfg = p
-    known = [t for t in p["replies"] if t in r.assign]
-    if known:
-        cand = [r.assign[t] for t in known if r.assign[t] != OFF]
-        if not cand:
-            return [r.put(p, OFF, "target off topic")]
-        out = _settle(r, cand[0])
-        if p["is_ack"]:
-            return [*out, r.put(p, cand[0], "acknowledgement")]
-        s = float(_unit(np.asarray(p["counts"])) @ r.topics[cand[0]].vector(p["ctx"]))
-        if s >= p["th_branch"]:
-            return [*out, r.put(p, cand[0], "reply")]
-        if p["oracle"]:
-            row = r.defer(p, "branch", OFF)
-            return [*out, *_settle(r, row["assign"]), row]
-        topic, _, _, new = _by_vector(r, p)
-        row = r.put(p, topic, "branch", True)
-        if not new:
-            out += _settle(r, topic)
-        return [*out, row]
-    if p["is_ack"]:
-        return [r.put(p, OFF, "small talk")]
-    topic, why, ask, new = _by_vector(r, p)
-    if ask:
-        row = r.defer(p, why, topic)
-        return [*_settle(r, row["assign"]), row]
-    row = r.put(p, topic, why)
-    if new:
-        r.held[topic] = {"row": row, "post": p}
-        return []
-    return [*_settle(r, topic), row]
-
-
-def _finish_v2(r: Router) -> list[dict]:
-    """Tentative topics still holding one post are deferred."""
-    out = []
-    for topic, h in list(r.held.items()):
-        why = h["row"]["reason"] + ", alone at the end"
-        if r.cfg["oracle"]:
-            del r.topics[topic]
-            out.append(r.defer(h["post"], why, OFF))
-        else:
-            out.append({**h["row"], "reason": why, "deferred": True})
-    return out
-
-
 _ROUTED = "post_id string, assign string, reason string, deferred boolean"
 
 
@@ -265,6 +65,17 @@ def with_config(posts: DataFrame, **columns) -> DataFrame:
     return out.withColumn("drop", F.lit(float(drop))).withColumn("seed", F.lit(seed))
 
 
+def _routed(rows: DataFrame, rules: list, end, settings: list[str]) -> DataFrame:
+    """Each conversation through a table of rules; ``settings`` are columns, the same in all posts of a conversation."""
+    def step(talks: list[Talk], post: dict) -> list[dict]:
+        if not talks:
+            talks.append(Talk({k: post[k] for k in settings}))
+        post["vector"] = unit(np.asarray(post["counts"]))
+        return decide(rules, talks[0], post, post["replies"])
+
+    return fold_in_order(rows, ["conv"], ["seq"], list, step, lambda talks: end(talks[0]), _ROUTED)
+
+
 def route_posts_v1(
     posts: DataFrame, delta: float = 0.02, ctx: str = "concat", drop: float = 0.0, seed: int = 0, branch_k: int = 2, oracle: bool = False
 ) -> DataFrame:
@@ -273,7 +84,7 @@ def route_posts_v1(
     ``posts`` come from :func:`prepare_posts`.
     """
     rows = with_config(posts, delta=delta, ctx=ctx, drop=drop, seed=seed, branch_k=branch_k, oracle=oracle)
-    return fold_in_order(rows, ["conv"], ["seq"], Router, _route_v1, _finish_v1, _ROUTED)
+    return _routed(rows, V1, v1_end, ["delta", "ctx", "branch_k", "oracle"])
 
 
 def route_posts_v2(
@@ -284,7 +95,7 @@ def route_posts_v2(
     for k, v in (("th_new", th_new), ("th_branch", th_branch)):
         if k not in posts.columns:
             rows = rows.withColumn(k, F.lit(v))
-    return fold_in_order(rows, ["conv"], ["seq"], Router, _route_v2, _finish_v2, _ROUTED)
+    return _routed(rows, V2, v2_end, ["delta", "ctx", "oracle", "th_new", "th_branch"])
 
 
 SETTINGS = ["ctx", "delta", "branch_k", "drop", "seed", "oracle"]
@@ -293,19 +104,34 @@ SETTINGS = ["ctx", "delta", "branch_k", "drop", "seed", "oracle"]
 def sweep_v1(posts: DataFrame, ctxs=("concat", "mean"), deltas=DELTAS, branches=(0, 1, 2), drops=(0.0, 0.5, 1.0), seeds: int = 20) -> DataFrame:
     """Every setting on every conversation in one job, scored per setting and conversation.
 
-    Settings are rows: posts are repeated per setting and each (setting, conversation) is an
-    independent stream. Partial reply removal is repeated over the seeds.
+    Posts are read once: a conversation carries one state for each setting, and its rows name the setting by number. Partial
+    reply removal is repeated over the seeds.
     """
     grid = [
         (c, float(d), b, float(p), s, o)
         for c in ctxs for d in deltas for b in branches for p in drops
         for s in (range(seeds) if 0 < p < 1 else [0]) for o in (False, True)
     ]
-    configs = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(SETTINGS, g)]) for g in grid])
-    rows = posts.withColumn("_c", F.explode(configs)).select("*", "_c.*").drop("_c")
-    u = F.pmod(F.xxhash64("seed", F.concat_ws("/", F.col("conv").cast("string"), "post_id")), F.lit(1_000_000)) / 1_000_000.0
-    rows = rows.withColumn("replies", F.when(u < F.col("drop"), F.array().cast("array<string>")).otherwise(F.col("reply_to")))
-    routed = fold_in_order(rows, [*SETTINGS, "conv"], ["seq"], Router, _route_v1, _finish_v1, _ROUTED)
+    settings = [dict(zip(SETTINGS, g, strict=True)) for g in grid]
+    draw = lambda s: F.pmod(F.xxhash64(F.lit(s), F.concat_ws("/", F.col("conv").cast("string"), "post_id")), F.lit(1_000_000)) / 1_000_000.0
+    rows = posts.withColumn("draws", F.array(*[draw(s) for s in range(max(seeds, 1))]))
+
+    def step(talks: list[Talk], post: dict) -> list[dict]:
+        if not talks:
+            talks.extend(Talk(x) for x in settings)
+        post["vector"] = unit(np.asarray(post["counts"]))
+        out = []
+        for i, talk in enumerate(talks):
+            replies = [] if post["draws"][talk.setting["seed"]] < talk.setting["drop"] else post["reply_to"]
+            out.extend({**row, "setting": i} for row in decide(V1, talk, post, replies))
+        return out
+
+    def end(talks: list[Talk]) -> list[dict]:
+        return [{**row, "setting": i} for i, talk in enumerate(talks) for row in v1_end(talk)]
+
+    found = fold_in_order(rows, ["conv"], ["seq"], list, step, end, _ROUTED + ", setting int")
+    named = posts.sparkSession.createDataFrame([(i, *g) for i, g in enumerate(grid)], "setting int, ctx string, delta double, branch_k int, drop double, seed int, oracle boolean")
+    routed = found.join(F.broadcast(named), "setting").drop("setting")  # one row for each setting asked for
     scored = routed.join(posts.select("conv", "post_id", "seq", "topics"), ["conv", "post_id"])
     by = [*SETTINGS, "conv"]
     return topic_accuracy(scored, by).join(bcubed(scored, by), by)
@@ -329,35 +155,24 @@ def sweep_summary(scores: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ diagnostics
 
 
-class _Gold:
-    def __init__(self):
-        self.topics: dict[str, Topic] = {}
-        self.of: dict[str, list[str]] = {}
-
-
-def _diagnose(g: _Gold, p: dict) -> list[dict]:
-    v = _unit(np.asarray(p["counts"]))
-    sim = {k: float(v @ t.vector("concat")) for k, t in g.topics.items()}
-    mine = list(p["topics"])
-    out = []
-
-    def row(kind, score, other=None, branch=None):
-        out.append({"post_id": p["post_id"], "kind": kind, "score": score, "other": other, "is_branch": branch})
-
-    if mine:
-        if mine[0] not in g.topics:
-            if sim:
-                row("start", max(sim.values()))
-        else:
-            row("cont", sim[mine[0]], max((s for k, s in sim.items() if k not in mine), default=None))
-    for t in p["reply_to"]:
-        theirs = g.of.get(t) or []
-        if theirs and theirs[0] in sim:
-            row("reply", sim[theirs[0]], None, not set(mine) & set(theirs))
-    for t in mine:
-        g.topics.setdefault(t, Topic()).add(p)
-    g.of[p["post_id"]] = mine
-    return out
+def _measure(state: tuple[Contexts, dict], post: dict) -> list[dict]:
+    """Rows of one post against the contexts of its conversation, which then take it in by its gold topics."""
+    contexts, gold = state
+    like = contexts.likeness(unit(np.asarray(post["counts"])), "concat")
+    own = list(post["topics"])
+    rows = []
+    if own and own[0] in like:
+        rest = [x for t, x in like.items() if t not in own]
+        rows.append(("cont", like[own[0]], max(rest, default=None), None))
+    elif own and like:
+        rows.append(("start", max(like.values()), None, None))
+    for theirs in filter(None, map(gold.get, post["reply_to"])):
+        if theirs[0] in like:
+            rows.append(("reply", like[theirs[0]], None, not set(own).intersection(theirs)))
+    for t in own:
+        contexts.add(t, post)
+    gold[post["post_id"]] = own
+    return [dict(zip(("post_id", "kind", "score", "other", "is_branch"), (post["post_id"], *r), strict=True)) for r in rows]
 
 
 def similarity_diagnostics(posts: DataFrame) -> DataFrame:
@@ -367,7 +182,7 @@ def similarity_diagnostics(posts: DataFrame) -> DataFrame:
     topic, whether the reply branches off).
     """
     schema = "post_id string, kind string, score double, other double, is_branch boolean"
-    return fold_in_order(posts, ["conv"], ["seq"], _Gold, _diagnose, lambda g: [], schema)
+    return fold_in_order(posts, ["conv"], ["seq"], lambda: (Contexts(), {}), _measure, lambda state: [], schema)
 
 
 def diagnostics_summary(diag: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stopover.functions import rules as R
-from stopover.functions.geo import LINE
+from stopover.functions.geo import LINE, walk_minutes
 from stopover.operators import network, places, spatial, suggest, timetable
 from stopover.plans import derived as D
 from stopover.plans import sql as S
@@ -230,30 +230,51 @@ def _(spark, sf):
     return out.groupBy("spot_id").agg(F.count(F.lit(1)).alias("nodes"), F.round(F.min("access_m"), 3).alias("least_access_m"))
 
 
-def _both_walks(spark, sf):
+def _walk_variants(spark, sf):
+    """Walks of at most 10 minutes under six kinds of access: (variant, group_code, spot_id, walk_min).
+
+    Stations by their centre or their exits, places by their point or their access points, over the network (``net_``) and,
+    from the centre, in a straight line (``line_``). One search serves all four network variants: only the ends differ.
+    """
     a = areas(spark, sf)
     p = tagged_places(spark, sf)
-    ap = places.access_points(places.match_area(p, a), a, tagged(spark, sf), places.open_crossings(crossings(spark, sf)))
+    ap = D.cut_lineage(places.access_points(places.match_area(p, a), a, tagged(spark, sf), places.open_crossings(crossings(spark, sf))))
     nodes, edges = D.walk_network(spark, sf)
-    access = D.cut_lineage(network.place_access(p, ap.withColumn("ap_id", F.xxhash64("spot_id", "lon", "lat")), nodes))
     stations, own = D.walk_access(spark, sf)
-    arcs = network.walk_arcs(edges)
-    # One search serves both tables: only the ends differ.
-    ends = access.select("spot_id", "node_id", "access_m", F.lit("ap").alias("v")).unionByName(own.select("spot_id", "node_id", "access_m", F.lit("point").alias("v")))
-    ends = ends.withColumn("spot_id", F.struct("v", "spot_id"))
-    walks = suggest.station_place_walks(arcs, stations, ends, 10)
-    return D.cut_lineage(walks.select(F.col("spot_id.v").alias("variant"), "group_code", F.col("spot_id.spot_id").alias("spot_id"), "walk_min"))
+    net = D.rail_network(spark, sf)
+    _, exits = places.station_exits(net.stations, places.point_extract(point_elements(spark, sf)))
+    at_exits = network.snap_to_network(exits.select(F.col("node_id").alias("exit_id"), "group_code", "lon", "lat"), nodes, ["exit_id", "group_code"])
+    starts = stations.select(F.lit("centre").alias("s"), "group_code", "node_id", "access_m").unionByName(at_exits.select(F.lit("exit").alias("s"), "group_code", "node_id", "access_m"))
+    access = network.place_access(p, ap.withColumn("ap_id", F.xxhash64("spot_id", "lon", "lat")), nodes)
+    ends = own.select(F.lit("point").alias("v"), "spot_id", "node_id", "access_m").unionByName(access.select(F.lit("ap").alias("v"), "spot_id", "node_id", "access_m"))
+    walks = suggest.station_place_walks(
+        network.walk_arcs(edges), starts.select(F.struct("s", "group_code").alias("group_code"), "node_id", "access_m"),
+        ends.select(F.struct("v", "spot_id").alias("spot_id"), "node_id", "access_m"), 10,
+    )
+    by_net = walks.select(
+        F.concat_ws("_", F.lit("net"), "group_code.s", "spot_id.v").alias("variant"), F.col("group_code.group_code").alias("group_code"), F.col("spot_id.spot_id").alias("spot_id"), "walk_min",
+    )
+    spots = p.select(F.lit("point").alias("v"), "spot_id", "lon", "lat").unionByName(ap.select(F.lit("ap").alias("v"), "spot_id", "lon", "lat"))
+    near = spatial.within_distance(spots, network.group_centroids(net.stations), 800.0, "spot_id")
+    by_line = near.select(F.concat_ws("_", F.lit("line_centre"), "v").alias("variant"), "group_code", "spot_id", walk_minutes(F.col("dist_m")).alias("walk_min"))
+    return D.cut_lineage(by_net.unionByName(by_line))
 
 
 @query("access_impact")
 def _(spark, sf):
-    w = _both_walks(spark, sf)
-    return suggest.impact_summary(suggest.access_impact(w.where("variant = 'point'"), w.where("variant = 'ap'")))
+    w = _walk_variants(spark, sf)
+    return suggest.impact_summary(suggest.access_impact(w.where("variant = 'net_centre_point'"), w.where("variant = 'net_centre_ap'")))
+
+
+@query("access_report")
+def _(spark, sf):
+    w = _walk_variants(spark, sf)
+    return suggest.impact_report(w.where("variant = 'net_centre_point'"), w.where("variant = 'net_centre_ap'"))
 
 
 @query("delta_matrix")
 def _(spark, sf):
-    return suggest.delta_matrix(_both_walks(spark, sf))
+    return suggest.delta_matrix(_walk_variants(spark, sf), shares=(0.2, 0.5, 0.8))
 
 
 @query("smallest_band", f"with {S.SPOTS}, b as (select p_partkey, {_PLON} as x, {_PLAT} as y, m from part, unnest([15, 30]) u(m)) select spot_id, min(m)::int as minutes from spot join b on lon > x - m*0.0004::double and lon < x + m*0.0004::double and lat > y - m*0.0004::double and lat < y + m*0.0004::double group by 1")

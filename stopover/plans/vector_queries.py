@@ -359,12 +359,20 @@ def _(spark, sf):
     return vectors.exact_search(docs, _words(spark, sf))
 
 
-@query("drop_overlapping_titles", _WORDS + ", t as (select page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title from pages) select page_id, title from t where not exists (select 1 from w where contains(t.title, w.word) or contains(w.word, t.title))")
+_PHRASES = """with l as (select list_filter(string_split_regex(lower(text), '[^a-zA-Z]+'), lambda x: x <> '') as l from benchmark),
+w as (select distinct l[i] || ' ' || l[i + 1] as word from (select l, unnest(range(1, len(l))) as i from l)),
+t as (select page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title from pages)"""
+
+
+@query("drop_overlapping_titles", _PHRASES + " select page_id, title from t where not exists (select 1 from w where contains(t.title, w.word) or contains(w.word, t.title))")
 def _(spark, sf):
     titles = D.table(spark, sf, "pages").select(
         "page_id", F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title")
     )
-    return containment.drop_overlapping_titles(titles, _words(spark, sf), "page_id", "title", "normalized_name")
+    words = D.table(spark, sf, "benchmark").select(F.array_remove(F.split(F.lower("text"), "[^a-zA-Z]+"), "").alias("l")).where("size(l) > 1")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("l") - 2), lambda i: F.concat(F.get("l", i), F.lit(" "), F.get("l", i + 1)))
+    names = words.select(F.explode(pairs).alias("normalized_name")).distinct()
+    return containment.drop_overlapping_titles(titles, names, "page_id", "title", "normalized_name")
 
 
 NGRAM_SQL = """

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stopover.functions.text import ngram_vector
-from stopover.operators import topics
+from stopover.operators import routing, topics
 
 POST = "conv long, seq int, post_id string, reply_to array<string>, text string, topics array<string>"
 
@@ -66,11 +66,12 @@ def test_v2_tentative_topics(talk):
 def test_concat_context_equals_embedding_of_joined_text(spark):
     rows = [("あいう", [], ["T"]), ("えお", [], ["T"]), ("か", [], ["T"])]
     posts = _posts(spark, rows).orderBy("seq").collect()
-    t = topics.Topic()
+    t = routing.Contexts()
     for p in posts:
-        t.add(p.asDict())
-    want = topics._unit(topics.bigram_matrix(["。".join(r[0] for r in rows)])[0])
-    assert abs(t.vector("concat") - want).max() < 1e-12
+        t.add("T", p.asDict())
+    want = topics.bigram_matrix(["。".join(r[0] for r in rows)])[0]
+    assert abs(t.joined[0] - want).max() < 1e-12
+    assert abs(t.likeness(routing.unit(want), "concat")["T"] - 1) < 1e-12
 
 
 def test_conversations_are_independent(spark, talk):

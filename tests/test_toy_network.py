@@ -121,3 +121,41 @@ def test_detour_areas_follow_the_greedy_order(spark):
     # G2 leads by its voiced place and takes G1 and G3; G0 has a place and is too far from G2; G4 is alone.
     assert set(got) == {"G2", "G0", "G4", "GO"}
     assert got["G2"]["members"] == 3 and got["G2"]["stay"] == 40 and got["G2"]["detour"] == 2
+
+
+def test_impact_of_another_walking_table(spark):
+    from stopover.operators import suggest
+
+    walk = "group_code string, spot_id int, walk_min double"
+    before = [("a", 1, 5.0), ("a", 2, 9.0), ("a", 3, 2.0), ("b", 1, 8.0), ("b", 4, 4.0), ("b", 4, 6.0)]
+    after = [("a", 1, 1.0), ("a", 2, 9.5), ("b", 1, 8.0), ("b", 4, 9.0), ("b", 5, 3.0), ("c", 5, 7.0)]
+    a, b = spark.createDataFrame(before, walk), spark.createDataFrame(after, walk)
+    r = suggest.impact_report(a, b, k=2).first().asDict()
+    # Nearest walks: 1: 5 -> 1, 2: 9 -> 9.5, 4: 4 -> 9; 3 is lost, 5 is gained.
+    assert (r["pairs"], r["nearer"], r["farther"], r["same"]) == (3, 1, 1, 1)
+    assert (r["p20"], r["p50"], r["p80"]) == (-4.0, 0.5, 5.0) and abs(r["mean_delta"] - 0.5) < 1e-12
+    # Pairs: a3 gone, b5 and c5 come, four stay.
+    assert (r["pairs_both"], r["pairs_gone"], r["pairs_come"], r["pairs_churn"]) == (4, 1, 2, 3 / 7)
+    # Two nearest places: a: 3, 1 -> 1, 2; b: 4, 1 -> 5, 1; c: none -> 5.
+    assert (r["stations"], r["stations_changed"], r["top_both"], r["top_gone"], r["top_come"], r["top_moved"]) == (3, 3, 2, 2, 3, 1)
+
+
+def test_delta_matrix_of_six_variants(spark):
+    import itertools
+    import random
+
+    from stopover.operators import suggest
+
+    rng = random.Random(4)
+    rows = [(v, g, s, rng.randrange(0, 40) / 4) for v in "abcdef" for g in "xyz" for s in range(20) for _ in range(rng.randrange(0, 3))]
+    got = {(r["a"], r["b"]): r for r in suggest.delta_matrix(spark.createDataFrame(rows, "variant string, group_code string, spot_id int, walk_min double")).collect()}
+    least = {}
+    for v, g, s, m in rows:
+        least[v, g, s] = min(m, least.get((v, g, s), m))
+    assert len(got) == 15
+    for a, b in itertools.combinations("abcdef", 2):
+        d = sorted(least[b, g, s] - least[a, g, s] for v, g, s in least if v == a and (b, g, s) in least)
+        r = got[a, b]
+        assert (r["pairs"], r["nearer"], r["farther"]) == (len(d), sum(x <= -3 for x in d), sum(x >= 3 for x in d))
+        assert r["same"] == len(d) - r["nearer"] - r["farther"] and abs(r["mean_delta"] - sum(d) / len(d)) < 1e-9
+        assert r["p50"] == d[min(len(d) - 1, round(0.5 * (len(d) - 1)))] or r["p50"] in d
