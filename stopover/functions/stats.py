@@ -60,11 +60,14 @@ def percentiles(df: DataFrame, group: list[str], value: str, shares: list[float]
     Rules: ``nearest``, ``rounded``, ``floor`` (positions of a sorted list) and ``median``
     (mean of the two middle values, for the share 0.5).
     """
-    if rule == "median":
-        agg = df.groupBy(*group).agg(F.percentile(value, 0.5).alias("value"))
-        return agg.withColumn("share", F.lit(0.5)).select(*group, "share", "value")
     counts = value_counts(df, group, value)
     size = counts.groupBy(*group).agg(F.max("cum").alias("_size"))
+    if rule == "median":
+        middle = F.array(F.floor((F.col("_size") - 1) / 2), F.floor(F.col("_size") / 2))
+        wanted = size.select(*group, F.explode(middle).alias("_pos"))
+        met = counts.join(wanted, group) if group else counts.join(F.broadcast(wanted))  # two rows
+        inside = met.where((F.col("_pos") >= F.col("cum") - F.col("n")) & (F.col("_pos") < F.col("cum")))
+        return inside.groupBy(*group).agg(F.avg(value).alias("value")).select(*group, F.lit(0.5).alias("share"), "value")
     wanted = size.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn(
         "_pos",
         F.least(F.col("_size") - 1, _POSITION[rule](F.col("share"), F.col("_size").cast("double")).cast("long")),
@@ -163,20 +166,22 @@ def line_fit(df: DataFrame, group: list[str], x: str, y: str, at: list[float]) -
     )
 
 
-def latency_summary(df: DataFrame, config: list[str], seconds: str, wall: str | None = None) -> DataFrame:
-    """Count, mean, nearest-rank p50/p95 and calls per second of each configuration."""
-    total = F.sum(seconds) if wall is None else F.max(wall)
+def latency_summary(df: DataFrame, config: list[str], seconds: str, started: str | None = None) -> DataFrame:
+    """Count, mean, median, nearest-rank p95 and calls per second of each configuration.
+
+    ``started``: begin of each call in seconds; calls per second are then over the time from the first begin to the last
+    end, in which calls may overlap. Without it calls count as one after the other.
+    """
+    wall = F.sum(seconds) if started is None else F.max(F.col(started) + F.col(seconds)) - F.min(started)
     base = df.groupBy(*config).agg(
         F.count(F.lit(1)).alias("calls"),
         F.avg(seconds).alias("mean_sec"),
         F.max(seconds).alias("max_sec"),
-        (F.count(F.lit(1)) / total).alias("per_sec"),
-    )
-    p = percentiles(df, config, seconds, [0.5, 0.95], "nearest").groupBy(*config).agg(
-        F.max(F.when(F.col("share") == 0.5, F.col("value"))).alias("p50_sec"),
-        F.max(F.when(F.col("share") == 0.95, F.col("value"))).alias("p95_sec"),
+        F.try_divide(F.count(F.lit(1)), wall).alias("per_sec"),
     )
-    return base.join(p, config)
+    median = percentiles(df, config, seconds, [0.5], "median").select(*config, F.col("value").alias("p50_sec"))
+    high = percentiles(df, config, seconds, [0.95], "nearest").select(*config, F.col("value").alias("p95_sec"))
+    return base.join(median, config).join(high, config)
 
 
 def category_shares(df: DataFrame, category: str, flags: dict[str, Column]) -> DataFrame:

@@ -304,6 +304,8 @@ def safety_scores(must_not: DataFrame, allowed: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ daily changes
 
 _MARK = "struct<day:int,reason:string>"
+# What a question may carry besides its text: whether the conversation itself asks it, and the posts it comes from.
+QUESTION_EXTRAS = {"in_conversation": "boolean", "question_src": "array<string>"}
 FINDING_FIELDS = ("content", "kind", "status", "related_places", "aliases", "claims")
 
 
@@ -339,7 +341,8 @@ def apply_changes(state: dict[str, DataFrame], delta: dict[str, DataFrame], day:
     ``questions`` (conv, id, about, question, type, day, removed). Delta: ``exclude`` (conv,
     id, reason), ``add`` (conv, pos, id, finding fields), ``update`` (conv, id, finding
     fields, NULL keeps), ``expire`` (conv, id, reason), ``ask`` (conv, pos, about, question,
-    type), ``reask`` (conv, id, question, type), ``drop`` (conv, id, reason).
+    type), ``reask`` (conv, id, question, type), ``drop`` (conv, id, reason). Questions keep ``in_conversation`` and
+    ``question_src`` where ``ask`` or the state has them.
 
     Claims are excluded first; findings are added, updated and expired; questions follow;
     last, excluded claims leave every live finding, and a finding without claims expires.
@@ -370,11 +373,12 @@ def apply_changes(state: dict[str, DataFrame], delta: dict[str, DataFrame], day:
 
     names = numbered.select("conv", F.col("id").alias("about"), "new_id")
     asked = _next_ids(state["questions"], delta["ask"], "Q").withColumnRenamed("new_id", "qid")
-    asked = asked.join(names, ["conv", "about"], "left").select(
+    extras = [c for c in QUESTION_EXTRAS if c in asked.columns or c in state["questions"].columns]
+    asked = _with_extras(asked.join(names, ["conv", "about"], "left"), extras).select(
         "conv", F.col("qid").alias("id"), F.coalesce("new_id", "about").alias("about"), "question", "type",
-        F.lit(day).alias("day"), F.lit(None).cast(_MARK).alias("removed"),
+        F.lit(day).alias("day"), F.lit(None).cast(_MARK).alias("removed"), *extras,
     )
-    questions = joined(state["questions"], delta["reask"], ["question", "type"]).withColumn(
+    questions = joined(_with_extras(state["questions"], extras), delta["reask"], ["question", "type"]).withColumn(
         "question", F.coalesce("_question", "question")
     ).withColumn("type", F.coalesce("_type", "type")).drop("_hit", "_question", "_type")
     questions = joined(questions, delta["drop"], ["reason"]).withColumn(
@@ -402,8 +406,14 @@ def invalid_changes(state: dict[str, DataFrame], delta: dict[str, DataFrame]) ->
     return out.unionByName(kinds).unionByName(about).unionByName(types)
 
 
+def _with_extras(questions: DataFrame, names) -> DataFrame:
+    """The question columns ``names``, NULL where ``questions`` lacks them."""
+    lacking = {c: F.lit(None).cast(QUESTION_EXTRAS[c]) for c in names if c not in questions.columns}
+    return questions.withColumns(lacking) if lacking else questions
+
+
 def finalise(state: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Live findings with the posts behind their claims, and the questions about them."""
+    """Live findings with the posts behind their claims, and the questions about them, with their QUESTION_EXTRAS."""
     live = state["findings"].where("expired is null")
     src = state["claims"].select("conv", F.col("id").alias("claim"), "src")
     posts = (
@@ -411,7 +421,7 @@ def finalise(state: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
         .select("conv", "id", F.explode("src").alias("post_id")).groupBy("conv", "id").agg(by_number(F.collect_set("post_id")).alias("posts"))
     )
     findings = live.join(posts, ["conv", "id"], "left").select("conv", "id", *FINDING_FIELDS, F.coalesce("posts", _empty()).alias("posts"))
-    questions = state["questions"].where("removed is null").join(live.select("conv", F.col("id").alias("about")), ["conv", "about"], "left_semi")
+    questions = _with_extras(state["questions"], QUESTION_EXTRAS).where("removed is null").join(live.select("conv", F.col("id").alias("about")), ["conv", "about"], "left_semi")
     return findings, questions
 
 
