@@ -434,3 +434,58 @@ def _(spark, sf):
 def _(spark, sf):
     mid = D.rail_features(spark, sf)[0].withColumn("p", line_interpolate(F.col("line"), 0.5))
     return mid.groupBy("operator", "line_name").agg(F.round(F.avg("p.lon"), 6).alias("lon"), F.round(F.avg("p.lat"), 6).alias("lat"))
+
+
+# ------------------------------------------------------------------ supplied travel times and itineraries
+
+_OD = """with t as (select user_id, event_type, event_id % 2 as half, min(value) as m from events group by 1, 2, 3),
+p as (select * from (select user_id, event_type, m as x from t where half = 0) full join (select user_id, event_type, m as y from t where half = 1) using (user_id, event_type)),
+d as (select 'there' as direction, x, y from p union all select 'back', y, x from p)"""
+
+
+@query("od_compare", _OD + """ select direction, count(y - x) as common, count(*) filter (abs(y - x) <= 5) as within, count(*) filter (y - x < -5) as faster, count(*) filter (y - x > 5) as slower,
+  count(*) filter (x is not null and y is null) as only_a, count(*) filter (y is not null and x is null) as only_b, round(avg(y - x), 6) as mean_diff from d group by 1""")
+def _(spark, sf):
+    # Two tables of least times between a user and an event type, compared in both directions.
+    least = D.cut_lineage(D.table(spark, sf, "events").groupBy("user_id", "event_type", (F.col("event_id") % 2).alias("half")).agg(F.min("value").alias("minutes")))
+    a, b = (least.where(F.col("half") == h).drop("half") for h in (0, 1))
+    keys = ["user_id", "event_type"]
+    there = suggest.od_compare(a, b, keys, "minutes").withColumn("direction", F.lit("there"))
+    back = suggest.od_compare(b, a, keys, "minutes").withColumn("direction", F.lit("back"))
+    return there.unionByName(back).withColumn("mean_diff", F.round("mean_diff", 6))
+
+
+@query("averaged_times", """with s as (select l_partkey as place, l_quantity as minutes, row_number() over (partition by l_partkey order by l_quantity) - 1 as i, count(*) over (partition by l_partkey) as n
+  from lineitem where l_returnflag <> 'A')
+select place, round(avg(minutes), 6) as mean, max(n) as n, max(minutes) filter (n = 15 and i = round_even(0.5*(n - 1), 0)) as p50, max(minutes) filter (n = 15 and i = round_even(0.8*(n - 1), 0)) as p80 from s group by 1""")
+def _(spark, sf):
+    # Departures to a part; those returned as 'A' did not arrive. Quantiles stand only where all 15 departures did.
+    rows = D.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("place"), F.when(F.col("l_returnflag") != "A", F.col("l_quantity")).alias("minutes"))
+    return suggest.averaged_times(rows, ["place"], 15).withColumn("mean", F.round("mean", 6))
+
+
+_LEGS = """with leg as (select l_orderkey as trip, l_linenumber as leg, case when l_returnflag = 'N' then 'WALK' else 'RIDE' end as mode, l_linenumber*60.0::double as s, l_linenumber*60.0::double + l_quantity as e from lineitem),
+one as (select trip, leg, max(mode) as mode, min(s) as s, min(e) as e from leg group by 1, 2),
+k as (select *, min(leg) over (partition by trip) as f, max(leg) over (partition by trip) as l from one),
+p as (select trip, max(e) - 30 as total, min(s) - 30 as first_wait, sum(case when mode = 'WALK' and leg = f then e - s else 0 end) as access, sum(case when mode = 'WALK' and leg = l and leg <> f then e - s else 0 end) as egress,
+  sum(case when mode = 'WALK' and leg <> f and leg <> l then e - s else 0 end) as transfer, sum(case when mode <> 'WALK' then e - s else 0 end) as ride from k group by 1)"""
+
+
+@query("itinerary_parts", _LEGS + " select trip, total, first_wait, access, egress, transfer, ride, total - first_wait - access - egress - transfer - ride as wait from p")
+def _(spark, sf):
+    # Orders as trips of one to seven legs: walks only, rides only and both.
+    line = D.table(spark, sf, "lineitem")
+    mode = F.when(F.col("l_returnflag") == "N", "WALK").otherwise("RIDE")
+    start = F.col("l_linenumber") * 60.0
+    legs = line.groupBy(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("leg")).agg(
+        F.max(mode).alias("mode"), F.min(start).alias("start"), F.min(start + F.col("l_quantity")).alias("end"))
+    return suggest.itinerary_parts(legs.withColumn("depart", F.lit(30.0)), ["trip"])
+
+
+@query("door_candidates", """with c as (select p_partkey as spot_id, (p_size + p_partkey % 50 - p_size / 2.0)::double as detour, p_retailprice / 3000 as sim from part where p_size + p_partkey % 50 + 20 <= 60 + 20)
+select spot_id, detour, round(sim - {w} * detour / 60, 9) as score, row_number() over (order by round(sim - {w} * detour / 60, 12) desc, spot_id) as rank from c""".replace("{w}", repr(suggest.DETOUR_WEIGHT)))
+def _(spark, sf):
+    part = D.table(spark, sf, "part")
+    times = part.select(F.col("p_partkey").alias("spot_id"), F.col("p_size").cast("double").alias("t1"), (F.col("p_partkey") % 50).cast("double").alias("t2"),
+                        (F.col("p_size") / 2.0).alias("direct"), (F.col("p_retailprice") / 3000).alias("sim"))
+    return suggest.door_candidates(times, 60.0, 20.0).select("spot_id", "detour", F.round("score", 9).alias("score"), "rank")
