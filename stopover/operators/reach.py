@@ -325,10 +325,10 @@ def detour_map_json(net: Network, places: DataFrame, start: str, end: str, avail
     )
 
 
-def collapse_repeats(route: DataFrame) -> DataFrame:
-    """Stops of a route without those named like the stop before."""
-    prev = F.lag("station_name").over(Window.orderBy("seq"))
-    return route.withColumn("_p", prev).where(F.col("_p").isNull() | (F.col("_p") != F.col("station_name"))).drop("_p")
+def collapse_repeats(routes: DataFrame, by: list[str]) -> DataFrame:
+    """Stops of each route without those named like the stop before; a route is what shares ``by``, in the order of ``seq``."""
+    prev = F.lag("station_name").over(Window.partitionBy(*by).orderBy("seq"))
+    return routes.withColumn("_p", prev).where(F.col("_p").isNull() | (F.col("_p") != F.col("station_name"))).drop("_p")
 
 
 def detour_areas(stations: DataFrame, spots: DataFrame, radius_m: float = AREA_RADIUS_M, order: str = "spots") -> DataFrame:

@@ -489,3 +489,10 @@ def _(spark, sf):
     times = part.select(F.col("p_partkey").alias("spot_id"), F.col("p_size").cast("double").alias("t1"), (F.col("p_partkey") % 50).cast("double").alias("t2"),
                         (F.col("p_size") / 2.0).alias("direct"), (F.col("p_retailprice") / 3000).alias("sim"))
     return suggest.door_candidates(times, 60.0, 20.0).select("spot_id", "detour", F.round("score", 9).alias("score"), "rank")
+
+
+@query("collapse_repeats", "select user_id, seq, station_name from (select user_id, event_id as seq, event_type as station_name, lag(event_type) over (partition by user_id order by event_id) as p from events) where p is null or p <> station_name")
+def _(spark, sf):
+    # A user's events as the stops of one route.
+    routes = D.table(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("station_name"))
+    return reach.collapse_repeats(routes, ["user_id"])

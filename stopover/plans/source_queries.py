@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from stopover.functions import sets as SETS
 from stopover.functions import text as T
 from stopover.operators import claims as C
 from stopover.plans import derived as D
@@ -201,6 +202,23 @@ def _(spark, sf):
     return rows.select("s_suppkey", T.item_texts(F.col("name"), F.col("subjects"), F.col("findings"), topic)["topics"].alias("text"))
 
 
+@query("set_difference", "select id, 'a' as side from (select distinct user_id as id from events) where id not in (select o_custkey from orders) union all select id, 'b' from (select distinct o_custkey as id from orders) where id not in (select user_id from events)")
+def _(spark, sf):
+    users = D.table(spark, sf, "events").select(F.col("user_id").alias("id"))
+    return SETS.set_difference(users, D.table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), ["id"])
+
+
+@query("json_tokens", "select doc_id, round(length(to_json({'doc_id': doc_id, 'source': source, 'n_chars': n_chars})) * 1.3, 6) as tokens from documents")
+def _(spark, sf):
+    return D.table(spark, sf, "documents").select("doc_id", F.round(T.json_tokens(F.struct("doc_id", "source", "n_chars")), 6).alias("tokens"))
+
+
+@query("clock_minutes", "select event_id, extract(hour from ts)*60 + extract(minute from ts) as minutes, strftime(ts, '%H:%M') as clock from events")
+def _(spark, sf):
+    e = D.table(spark, sf, "events").select("event_id", T.minutes_to_hhmm(F.hour("ts") * 60 + F.minute("ts")).alias("clock"))
+    return e.select("event_id", T.hhmm_to_minutes(F.col("clock")).cast("long").alias("minutes"), "clock")
+
+
 # ------------------------------------------------------------------ streaming
 
 
