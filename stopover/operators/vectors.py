@@ -232,8 +232,9 @@ def exact_search(queries: DataFrame, item_subject: DataFrame, limit: int = 5) ->
     ``queries``: (qid, text) with text already normalised; ``item_subject``: (item_id, normalized_name).
     """
     hits = contains_join(queries, item_subject.select("normalized_name").distinct(), "qid", "text", "normalized_name")
+    # One shuffle by query serves the distinct names, the items' scores and the ranking.
     scores = (
-        hits.distinct().join(item_subject.select("item_id", "normalized_name").distinct(), "normalized_name")
+        hits.repartition("qid").distinct().join(item_subject.select("item_id", "normalized_name").distinct(), "normalized_name")
         .groupBy("qid", "item_id")
         .agg(F.count(F.lit(1)).cast("double").alias("score"))
     )
