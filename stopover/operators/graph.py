@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ ADJACENCY_CHUNK = 1_000
 HOPS_PER_CUT = 8
 # Largest adjacency, in arcs, that is sent to every task; about 40 bytes each in the hash table.
 BROADCAST_ARCS = 6_000_000
+# A search of up to this many rows is hashed against the kept graph, if that has more arcs; sending the graph round costs more.
+HASHED_ROWS = 200_000
+# A search of more rows is cut into bands of cost: only rows below the end of the band make offers.
+BAND_ROWS = 5_000_000
+BANDS = 8
+# Settled rows are set aside, out of the rounds' shuffles, as soon as there are so many.
+SETTLED_ROWS = 200_000
 
 
 class StationNotFound(ValueError):
@@ -43,27 +52,38 @@ def adjacency(arcs: DataFrame) -> DataFrame:
     )
 
 
-def prepare(arcs: DataFrame) -> DataFrame:
+@dataclass
+class Prepared:
+    """A graph laid out for many searches: adjacency by node, its arcs counted, its longest arc."""
+
+    adj: DataFrame
+    arcs: int
+    longest: int
+
+
+def prepare(arcs: DataFrame) -> Prepared:
     """Adjacency of a graph laid out for many searches; build it once per network.
 
-    A counted, small graph is broadcast, so a round shuffles its offers only; one broadcast
-    serves all rounds planned together. A larger one is hash-partitioned and sorted by node
-    and kept on the executors, so a round moves the state but never the graph.
+    It is hash-partitioned and sorted by node and kept on the executors, so a round moves the
+    rows of the search but never the graph.
     """
     n = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = cut_lineage(adjacency(arcs).repartition(n, "node").sortWithinPartitions("node"))
-    held = kept.agg(F.sum(F.size("out"))).first()[0] or 0
-    return F.broadcast(kept) if held <= BROADCAST_ARCS else kept.persist()
+    kept = adjacency(arcs).repartition(n, "node").sortWithinPartitions("node").persist()
+    held, longest = kept.agg(F.sum(F.size("out")), F.max(F.array_max("out.cost"))).first()
+    return Prepared(kept, held or 0, longest or 0)
 
 
-def _relax(state: DataFrame, adj: DataFrame, cap: int | None) -> DataFrame:
-    """One round: every improved row offers its arcs; the best offer per (origin, node) stays.
+def _relax(state: DataFrame, adj: DataFrame, cap: int | None, top: int | None) -> DataFrame:
+    """One round: every improved row below ``top`` offers its arcs; the best offer per (origin, node) stays.
 
-    Rows carry the cost they had before the round in ``old``, so one aggregate both merges
-    the offers and tells which rows improved. Offers are combined map-side before the shuffle.
+    Rows carry the cost they had before the round in ``old`` (null while they have not made offers at that
+    cost), so one aggregate both merges the offers and tells which rows are still to make theirs. Offers are
+    combined map-side before the shuffle.
     """
-    step = state.join(adj.withColumnRenamed("node", "_n"), (F.col("node") == F.col("_n")) & F.col("fresh"), "left")
-    itself = "array(struct(node, cost, cost as old))"
+    asks = F.col("fresh") if top is None else F.col("fresh") & (F.col("cost") < top)
+    step = state.join(adj.withColumnRenamed("node", "_n"), (F.col("node") == F.col("_n")) & asks, "left")
+    old = "cost" if top is None else f"if(fresh and cost >= {top}, null, cost)"
+    itself = f"array(struct(node, cost, {old} as old))"
     offers = "transform(out, a -> struct(a.target as node, cost + a.cost as cost, cast(null as bigint) as old))"
     rows = step.selectExpr("origin", f"inline(if(out is null, {itself}, concat({itself}, {offers})))")
     if cap is not None:
@@ -74,34 +94,76 @@ def _relax(state: DataFrame, adj: DataFrame, cap: int | None) -> DataFrame:
 
 def shortest_costs(
     arcs: DataFrame, seeds: DataFrame, cap: int | None, hops: int = HOPS_PER_CUT, sink: DataFrame | None = None,
-    adj: DataFrame | None = None,
+    adj: Prepared | None = None, delta: int | None = None, settled_rows: int = SETTLED_ROWS,
 ) -> DataFrame:
-    """Bounded multi-source shortest path: (origin, node, cost) with cost at most ``cap``.
+    """Bounded multi-source shortest path: (origin, node, cost) with cost at most ``cap``; arc costs are not negative.
 
     ``seeds``: (origin, node, cost) starting rows; every origin is searched in the same
     rounds, and several seeds of one origin act as one virtual source. ``sink`` (origin,
     node) names goals: once an origin reaches one, costs beyond its best arrival are not
     explored. ``adj`` is the graph as :func:`prepare` leaves it, for searches that share one.
+
+    The rounds go through bands of cost ``delta`` wide: rows beyond the band wait until every row in it has made its offers,
+    so they make theirs about once instead of at each improvement. Without ``delta`` a search has one band until it holds
+    more than BAND_ROWS rows. No later offer can be lower than the lowest row that still waits; what lies below it by more
+    than the longest arc is settled. Settled rows are set aside partitioned by (origin, node) and take no part in the
+    rounds; offers that go back to them, along arcs without a way back, are dropped against them after each cut.
     """
-    adj = prepare(arcs) if adj is None else adj
-    state = seeds.groupBy("origin", "node").agg(F.min(F.col("cost").cast("long")).alias("cost")).withColumn(
-        "fresh", F.lit(True)
+    graph = prepare(arcs) if adj is None else adj
+    n = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    live = cut_lineage(
+        seeds.groupBy("origin", "node").agg(F.min(F.col("cost").cast("long")).alias("cost")).withColumn("fresh", F.lit(True))
     )
-    while True:
+    settled: list[DataFrame] = []
+    rows, floor = live.agg(F.count("*"), F.min("cost")).first()
+    wait, top = rows, None if delta is None or floor is None else floor + delta
+    while wait:
         for _ in range(hops):
-            state = _relax(state, adj, cap)
-        state = cut_lineage(state)
+            if rows <= HASHED_ROWS < graph.arcs:
+                live = _relax(live.hint("shuffle_hash"), graph.adj, cap, top)
+            else:
+                live = _relax(live, F.broadcast(graph.adj) if graph.arcs <= BROADCAST_ARCS else graph.adj, cap, top)
+        for part in settled:
+            live = live.join(part.select("origin", "node"), ["origin", "node"], "left_anti")
+        live = cut_lineage(live)
         if sink is not None:
-            arrived = state.join(sink, ["origin", "node"], "left_semi").groupBy("origin").agg(F.min("cost").alias("_best"))
-            state = state.join(arrived, "origin", "left").select(
+            arrived = live.select("origin", "node", "cost")
+            for part in settled:
+                arrived = arrived.unionByName(part)
+            arrived = arrived.join(sink, ["origin", "node"], "left_semi").groupBy("origin").agg(F.min("cost").alias("_best"))
+            live = live.join(arrived, "origin", "left").select(
                 "origin", "node", "cost", (F.col("fresh") & (F.col("_best").isNull() | (F.col("cost") < F.col("_best")))).alias("fresh")
             )
-        if state.where("fresh").isEmpty():
-            return state.select("origin", "node", "cost")
+        rows, wait, floor, high = live.agg(
+            F.count("*"), F.count(F.when(F.col("fresh"), 1)), F.min(F.when(F.col("fresh"), F.col("cost"))), F.max("cost")
+        ).first()
+        if not wait:
+            break
+        if delta is not None:
+            top = top if floor < top else floor + delta
+        elif rows > BAND_ROWS:
+            top = floor + max((high - floor) // BANDS, graph.longest, 1)
+        else:
+            top = None
+        below = floor - graph.longest
+        old = live.where((F.col("cost") < below) & ~F.col("fresh")).select("origin", "node", "cost")
+        if old.count() > settled_rows:
+            settled.append(old.repartition(n, "origin", "node").persist())
+            live = live.where((F.col("cost") >= below) | F.col("fresh"))
+    if adj is None:
+        graph.adj.unpersist()
+    out = live.select("origin", "node", "cost")
+    if settled:
+        for part in settled:
+            out = out.unionByName(part)
+        out = cut_lineage(out)
+        for part in settled:
+            part.unpersist()
+    return out
 
 
 def shortest_route(
-    arcs: DataFrame, starts: DataFrame, goals: DataFrame, cap: int | None = None, adj: DataFrame | None = None
+    arcs: DataFrame, starts: DataFrame, goals: DataFrame, cap: int | None = None, adj: Prepared | None = None
 ) -> DataFrame:
     """Nodes of one shortest path from any start to the cheapest goal: (step, node, cost).
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ from stopover.functions.rules import default_speed, service_type, walkable
 from stopover.operators.spatial import nearest_within
 from stopover.session import cut_lineage, skew_join
 
+if TYPE_CHECKING:
+    from stopover.operators.graph import Prepared
+
 # Fixed values.
 TRANSFER_MIN = 10.0
 SNAP_CAP_M = 300.0
@@ -38,7 +42,7 @@ class Network:
     lines: DataFrame
     stations: DataFrame
     arcs: DataFrame
-    adj: DataFrame | None = None
+    adj: Prepared | None = None
 
 
 # ------------------------------------------------------------------ rail

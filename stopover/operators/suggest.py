@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stopover.functions.geo import haversine_m, milli, walk_minutes
 from stopover.functions.stats import percentiles, share
 from stopover.functions.vectors import cosine_similarity
-from stopover.operators.graph import shortest_costs
+from stopover.operators.graph import Prepared, shortest_costs
 from stopover.operators.network import Network, group_centroids
 from stopover.operators.reach import reachable
 from stopover.operators.spatial import within_distance
@@ -85,7 +85,7 @@ def suggest_interest_first(
 
 
 def station_place_walks(
-    arcs: DataFrame, station_access: DataFrame, place_access: DataFrame, max_min: float = MAX_WALK_MIN, adj: DataFrame | None = None
+    arcs: DataFrame, station_access: DataFrame, place_access: DataFrame, max_min: float = MAX_WALK_MIN, adj: Prepared | None = None
 ) -> DataFrame:
     """Walking minutes of every station and place within the limit: (group_code, spot_id, walk_min).
 

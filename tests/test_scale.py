@@ -83,6 +83,28 @@ def test_shortest_costs_with_a_hub(spark, random_graph, monkeypatch, broadcast):
     assert got == want
 
 
+@pytest.mark.parametrize("delta", [1, 3, 10, 1000, None])
+@pytest.mark.parametrize("path", ["hashed", "broadcast", "merged"])
+def test_bands_of_cost(spark, monkeypatch, delta, path):
+    """Directed arcs of very different length, several bands, rows set aside at once: same costs as plain relaxation."""
+    monkeypatch.setattr(graph, "HASHED_ROWS", 40 if path == "hashed" else 0)
+    if path == "merged":
+        monkeypatch.setattr(graph, "BROADCAST_ARCS", 0)
+    if delta is None:
+        monkeypatch.setattr(graph, "BAND_ROWS", 5)
+    rng = random.Random(4)
+    arcs = [(i, i + 1, rng.choice([0, 1, 2])) for i in range(25)] + [(rng.randrange(26), rng.randrange(26), rng.choice([1, 4, 9])) for _ in range(20)]
+    arcs += [(25, 0, 1), (12, 3, 0)]
+    df = spark.createDataFrame(arcs, "source long, target long, cost long")
+    seeds = spark.createDataFrame([("a", 0, 0), ("b", 7, 2), ("b", 20, 0)], "origin string, node long, cost long")
+    want = {("a", n): c for n, c in _relaxed(arcs, 0, 10**6).items()}
+    for start, first in ((7, 2), (20, 0)):
+        for n, c in _relaxed(arcs, start, 10**6).items():
+            want["b", n] = min(want.get(("b", n), 10**6), c + first)
+    got = graph.shortest_costs(df, seeds, None, hops=3, delta=delta, settled_rows=0).collect()
+    assert len(got) == len(want) and {(r["origin"], r["node"]): r["cost"] for r in got} == want
+
+
 def test_components_with_a_hot_centre(spark, monkeypatch):
     monkeypatch.setattr(graph, "HOT_KEY_ROWS", 5)
     pairs = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 201)]
