@@ -7,16 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopover.llm.common import U, buffer_of, mix, steps
+from stopover.llm.common import U, buffer_of, mix, settle, steps
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-# Training texts and calibration texts, taken in the order of a hash of their text; document frequencies take all texts.
-TRAIN_DOCS = 4_000
-CALIBRATION_DOCS = 1_000
+# Different texts that the regression takes: so many shared evenly by the languages, but at least the second number for each
+# language that has them. One in CALIBRATION_STEP sets the temperature instead. Document frequencies take all texts.
+SAMPLE_DOCS = 5_000
+LANGUAGE_DOCS = 200
+CALIBRATION_STEP = 5
 # A text's n-gram shares are small numbers; they are multiplied by this before the regression.
 SCALE = 30.0
 UNKNOWN = "und"
@@ -109,8 +111,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, count = np.unique(row * BUCKETS + bucket, return_counts=True)
         cuts = pa.array(np.searchsorted(key, np.arange(len(bounds)) * BUCKETS).astype(np.int32))
         yield pa.record_batch(
-            [batch.column("o"), batch.column("lang"), pa.ListArray.from_arrays(cuts, pa.array((key % BUCKETS).astype(np.int32))),
-             pa.ListArray.from_arrays(cuts, pa.array(count.astype(np.int32)))], ["o", "lang", "bucket", "n"],
+            [batch.column("o"), batch.column("lang"), batch.column("r"), pa.ListArray.from_arrays(cuts, pa.array((key % BUCKETS).astype(np.int32))),
+             pa.ListArray.from_arrays(cuts, pa.array(count.astype(np.int32)))], ["o", "lang", "r", "bucket", "n"],
         )
 
 
@@ -137,37 +139,56 @@ def _ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, epochs:
     return w[:-1], w[-1]
 
 
+def _drawn(rows: DataFrame, sample_docs: int, language_docs: int) -> DataFrame:
+    """(o, lang, r): hash and rank of the different texts drawn for each language, the first in the order of the hash.
+
+    Copies of a text count once, so no group of copies takes the place of other texts. The languages' different texts are
+    counted first; a share of the hashes that holds about twice the number wanted is then ranked, never a whole language.
+    """
+    keys = rows.select(F.xxhash64("text", F.lit(7)).alias("o"), "lang").distinct()
+    held = keys.groupBy("lang").agg(F.count("*").alias("n"))
+    wanted = F.greatest(F.ceil(F.lit(sample_docs) / F.col("languages")), F.lit(language_docs))
+    held = held.crossJoin(F.broadcast(held.agg(F.count("*").alias("languages")))).select("lang", "n", wanted.alias("wanted"))  # one row
+    first = keys.join(F.broadcast(held), "lang").where(  # one row a language
+        F.shiftrightunsigned("o", 11) < (2 * F.col("wanted") + 64) / F.col("n") * F.lit(float(1 << 53))
+    )
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("o", 11), "o")))
+    return ranked.where("r <= wanted").select("o", "lang", "r")
+
+
 def fit(
-    documents: DataFrame, train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS, epochs: int = 2,
+    documents: DataFrame, sample_docs: int = SAMPLE_DOCS, language_docs: int = LANGUAGE_DOCS, epochs: int = 2,
     alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3,
 ) -> Model | None:
     """Fit on labelled documents that are not held out; None if there is none.
 
-    Document frequencies take every such text. The regression takes at most ``train_docs`` texts and the temperature at most
-    ``calibration_docs`` others, both the first in the order of a hash of the text, so repeated runs take the same ones.
+    Document frequencies take every such text. The regression takes at most ``sample_docs`` different texts, or
+    ``language_docs`` for each language if that is more, by a hash of the text, so repeated runs take the same ones and every
+    language that is labelled at all is learned.
     """
     rows = documents.where("text is not null and lang is not null").where(~held_out(F.col("doc_id"))).select("text", "lang")
     n, df = document_frequencies(rows)
     if n == 0:
         return None
     idf = np.log((1 + n) / (1 + df)) + 1
-    share = (train_docs + calibration_docs) / n
-    order = F.xxhash64("text", F.lit(7))
-    part = rows if share >= 0.5 else rows.where(F.pmod(order, F.lit(1 << 20)) < F.lit(int(2 * share * (1 << 20)) + 64))
-    sample = part.select(order.alias("o"), "lang", "text").mapInArrow(_features, "o long, lang string, bucket array<int>, n array<int>")
-    sample = sample.orderBy("o", "bucket", "lang").limit(train_docs + calibration_docs).collect()  # at most BUCKETS counts a text
-    languages = sorted({r["lang"] for r in sample})
-    y = np.array([languages.index(r["lang"]) for r in sample])
+    drawn = settle(_drawn(rows, sample_docs, language_docs))
+    texts = rows.withColumn("o", F.xxhash64("text", F.lit(7))).join(F.broadcast(drawn), ["o", "lang"]).dropDuplicates(["o", "lang"])
+    sample = texts.select("o", "lang", "r", "text").mapInArrow(_features, "o long, lang string, r int, bucket array<int>, n array<int>")
+    sample = sample.orderBy("o", "lang").toArrow()  # the documented sample, at most BUCKETS counts a text
+    lang, rank = np.array(sample["lang"].to_pylist(), object), np.asarray(sample["r"])
+    languages, y = np.unique(lang.astype(str), return_inverse=True)
+    at, count = sample["bucket"].combine_chunks(), sample["n"].combine_chunks()
+    cuts, at, count = np.asarray(at.offsets) - at.offsets[0].as_py(), np.asarray(at.flatten()).astype(np.int64), np.asarray(count.flatten()).astype(float)
     x = []
-    for r in sample:
-        at, count = np.array(r["bucket"], np.int64), np.array(r["n"], float)
-        x.append((np.append(at, BUCKETS), np.append(SCALE * count / max(count.sum(), 1) * idf[at], 1.0)))
-    tune = slice(len(x) * train_docs // (train_docs + calibration_docs), None) if len(x) >= 10 else slice(0, None)
-    learn = slice(0, tune.start or None)
-    w, bias = _ftrl(x[learn], y[learn], len(languages), epochs, alpha, beta, l1, l2)
-    model = Model(languages, idf, w, bias)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        x.append((np.append(at[a:b], BUCKETS), np.append(SCALE * count[a:b] / max(count[a:b].sum(), 1) * idf[at[a:b]], 1.0)))
+    aside = rank % CALIBRATION_STEP == 0
+    learn = np.flatnonzero(~aside)
+    tune = np.flatnonzero(aside) if aside.any() else learn
+    w, bias = _ftrl([x[i] for i in learn], y[learn], len(languages), epochs, alpha, beta, l1, l2)
+    model = Model(languages.tolist(), idf, w, bias)
     full = np.vstack([w, bias])
-    logits = np.array([value @ full[at] for at, value in x[tune]])
+    logits = np.array([x[i][1] @ full[x[i][0]] for i in tune])
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 61))
     model.temperature = float(min(grid, key=lambda t: _loss(logits / t, y[tune])))
     return model
@@ -182,7 +203,8 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score (calibrated probability) of every whole text.
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned. Null ids count as not
-    held out; repeated rows give equal rows; nothing but the text enters a prediction. Without ``model`` one is fitted.
+    held out; repeated rows give equal rows; an empty table gives none; other columns are ignored; nothing but the text enters
+    a prediction. Without ``model`` one is fitted.
     """
     model = model or fit(documents)
     shape = "doc_id long, held_out boolean, lang_pred string, score double"
