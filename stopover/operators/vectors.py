@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopover.functions.text import ngram_vector
+from stopover.functions.text import NGRAM_DIM, md5_bucket, ngram_counts, ngram_vector
 from stopover.operators.containment import contains_join
-from stopover.session import skew_join
+from stopover.operators.graph import reply_parents
+from stopover.session import cut_lineage, skew_join
 
 # Most query vectors sent to every task at once: 4096 x 1024 doubles are 32 MiB.
 QUERY_BLOCK = 4096
@@ -454,6 +455,46 @@ def _same_topic(near: DataFrame, posts: DataFrame) -> DataFrame:
     )
 
 
+def chain_vectors(posts: DataFrame) -> DataFrame:
+    """Hashed 2-gram unit vector of each post's reply chain read from the root to the post: (conv, post_id, embedding).
+
+    No chain's text is put together. A stretch of a chain is known by its number of characters without spaces, the first and
+    the last of them, and the counts of the 2-grams inside; joining two stretches adds the gram at the seam. Each round
+    doubles the stretch that ends in a post, so the work is rows times the logarithm of the longest chain. Null texts count
+    as empty. ``posts``: conv, post_id, seq, reply target as in :func:`graph.reply_parents`, text.
+    """
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(""))
+    nothing = F.array_repeat(F.lit(0.0), NGRAM_DIM)
+    own = posts.select("conv", "post_id", plain.alias("_t")).withColumn("n", F.length("_t").cast("long"))
+    state = cut_lineage(
+        own.join(reply_parents(posts), ["conv", "post_id"], "left").select(
+            "conv", "post_id", F.col("parent_id").alias("top"), "n", F.substring("_t", 1, 1).alias("first"), F.substring("_t", -1, 1).alias("last"),
+            F.when(F.col("n") > 1, ngram_counts("_t")).otherwise(nothing).alias("counts"),
+        )
+    )
+    both = (F.col("n") > 0) & (F.col("_n") > 0)
+    seam = F.when(both, md5_bucket(F.concat("_last", "first"))).otherwise(F.lit(-1))
+    while not state.where(F.col("top").isNotNull()).isEmpty():
+        up = state.select("conv", F.col("post_id").alias("top"), *[F.col(c).alias(f"_{c}") for c in ("top", "n", "first", "last", "counts")])
+        state = cut_lineage(
+            state.join(up, ["conv", "top"], "left").withColumn("_seam", seam).select(
+                "conv", "post_id", F.col("_top").alias("top"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),
+                F.when(F.col("_n") > 0, F.col("_first")).otherwise(F.col("first")).alias("first"),
+                F.when(F.col("n") > 0, F.col("last")).otherwise(F.coalesce("_last", "last")).alias("last"),
+                F.when(F.col("_n").isNull(), F.col("counts")).otherwise(
+                    F.transform(F.zip_with("counts", "_counts", lambda x, y: x + y), lambda x, i: x + (i == F.col("_seam")).cast("double"))
+                ).alias("counts"),
+            )
+        )
+    # A chain of one character has that gram alone, one without any the empty gram.
+    alone = F.when(F.col("n") < 2, md5_bucket(F.when(F.col("n") == 1, F.col("first")).otherwise(F.lit("")))).otherwise(F.lit(-1))
+    whole = state.withColumn("_alone", alone).withColumn(
+        "counts", F.transform("counts", lambda x, i: x + (i == F.col("_alone")).cast("double"))
+    )
+    length = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda t, x: t + x * x))
+    return whole.withColumn("_length", length).select("conv", "post_id", F.transform("counts", lambda x: x / F.col("_length")).alias("embedding"))
+
+
 def nearest_context(posts: DataFrame, contexts: DataFrame, k: int = 3) -> DataFrame:
     """Each post against the reply-chain texts of every earlier post; a hit shares topics with the chain's last post.
 

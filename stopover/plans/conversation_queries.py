@@ -173,14 +173,7 @@ def _(spark, sf):
 @query("nearest_context")
 def _(spark, sf):
     posts = D.conversations(spark, sf)
-    chain = graph.reply_chains(posts, None)
-    text = posts.select("conv", F.col("post_id").alias("m"), F.col("seq").alias("mseq"), "text")
-    whole = F.concat(F.array("post_id"), "chain")
-    ctx = (
-        chain.select("conv", "post_id", F.explode(whole).alias("m")).join(text, ["conv", "m"]).groupBy("conv", "post_id")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mseq", "text"))), lambda x: x["text"]), " ").alias("text"))
-        .join(posts.select("conv", "post_id", "seq"), ["conv", "post_id"]).withColumn("embedding", ngram_vector(F.col("text")))
-    )
+    ctx = vectors.chain_vectors(posts).join(posts.select("conv", "post_id", "seq"), ["conv", "post_id"])
     return vectors.nearest_context(D.cut_lineage(posts.withColumn("embedding", ngram_vector(F.col("text")))), D.cut_lineage(ctx))
 
 

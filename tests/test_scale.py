@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stopover.functions import stats
+from stopover.functions.text import bigram_matrix
 from stopover.operators import graph, relevance, spatial, vectors
 from stopover.operators.containment import contains_join
 from stopover.session import skew_join
@@ -175,3 +176,23 @@ def test_plans_have_no_nested_loops(spark):
     anc = pts.select(F.col("pid").alias("aid"), "lon", "lat")
     plan = spatial.within_distance(pts, anc, 500.0, "pid")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_chain_vectors_equal_vectors_of_chain_texts(spark):
+    """Blank, null and one-letter posts, deep chains, several conversations: as if every chain's text were joined."""
+    rng = random.Random(6)
+    rows, whole = [], {}
+    for conv in ("c", "d"):
+        for i in range(40):
+            text = rng.choice([None, "", "  ", "a", "駅", "ab c", "  x", "北口 から", "zz", "long post " * 5])
+            parent = None if i == 0 or rng.random() < 0.15 else rng.choice([i - 1, i - 1, rng.randrange(i)])
+            rows.append((conv, f"p{i}", i, [] if parent is None else [f"p{parent}", "gone"], text))
+            whole[conv, i] = whole.get((conv, parent), "") + " " + (text or "")
+    posts = spark.createDataFrame(rows, "conv string, post_id string, seq int, reply_to array<string>, text string")
+    got = {(r.conv, r.post_id): r.embedding for r in vectors.chain_vectors(posts).collect()}
+    want = bigram_matrix(list(whole.values()))
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert len(got) == len(rows)
+    for (conv, i), v in zip(whole, want, strict=True):
+        assert np.allclose(got[conv, f"p{i}"], v, atol=1e-12), (conv, i)
+    assert vectors.chain_vectors(posts.limit(0)).count() == 0
