@@ -13,7 +13,7 @@ SHINGLE = 3
 # 64-bit words of the shingle filter: a quarter of a word for each counted shingle, between these sizes (0.1 and 16 MB).
 # Beyond them more places pass on to the join, which decides.
 FILTER_WORDS = (1 << 14, 1 << 21)
-# Window tables up to this many rows go to every executor; more are joined by shuffle.
+# Tables of windows and of documents that hold some prefix go to every executor up to this many rows; more are joined by shuffle.
 BROADCAST_WINDOWS = 200_000
 
 
@@ -89,12 +89,13 @@ def contained_windows(documents: DataFrame, benchmark: DataFrame) -> tuple[DataF
     n_prefix = prefix.count()
     near = F.broadcast if n_prefix <= BROADCAST_WINDOWS else (lambda df: df)
     starts = prefix.select("h").distinct()
-    holders = (
+    holders = settle(
         marked.select("doc_id", "_key", F.explode("_x.h").alias("h")).join(near(starts), "h", "left_semi")
         .select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), "_key").distinct()
     )
     texts = documents.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.xxhash64("text").alias("_key"))
-    again = _marked(texts.join(holders, ["_id", "_null", "_key"], "left_semi"), starts, n_prefix, sizes, ("w",)).where("size(_x) > 0")
+    few = F.broadcast if holders.count() <= BROADCAST_WINDOWS else (lambda df: df)
+    again = _marked(texts.join(few(holders), ["_id", "_null", "_key"], "left_semi"), starts, n_prefix, sizes, ("w",)).where("size(_x) > 0")
     around = f"transform(_x, x -> named_struct('i', x.i, 'h', x.h, 'w', slice(w, greatest(x.i - {WINDOW - 1}, 0) + 1, {2 * WINDOW})))"
     start = F.col("i") - F.col("o")
     found = (
