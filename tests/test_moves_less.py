@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from stopover.functions.geo import LINE
-from stopover.operators import graph, network
+from stopover.operators import graph, network, vectors
 
 
 def test_arcs_are_dealt_once_and_hubs_stay_in_chunks(spark):
@@ -31,3 +34,44 @@ def test_stations_need_no_adjacency(spark):
     assert network.transfer_counts(net.stations).first()["transfers"] == 2 and "adj" not in vars(net)
     a = net.stations.where("station_code = 'S1'").select(F.lit("o").alias("origin"), F.col("node_a").alias("node"), F.lit(0).alias("cost"))
     assert graph.shortest_costs(net.arcs, a, None, adj=net.adj).count() > 4 and net.adj is net.adj
+
+
+def _vectors(spark, n, seed, key):
+    rng = random.Random(seed)
+    return spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(n)], f"{key} long, embedding array<double>")
+
+
+def test_products_are_taken_in_slices(spark, monkeypatch):
+    items = _vectors(spark, 150, 5, "item_id")
+    queries = items.withColumnRenamed("item_id", "qid")
+    cells = items.select(F.lit("g").alias("g"), F.col("item_id").alias("id"), "embedding")
+
+    def both():
+        rows = vectors.knn_exact(items, queries, 4).unionByName(vectors.knn_exact(items, queries, 4, exclude_self=True))
+        inside = vectors.knn_within(cells, cells.withColumnRenamed("id", "qid"), "g", 4)
+        return sorted(map(tuple, rows.select("qid", "rank", "id").collect())), sorted(map(tuple, inside.select("g", "qid", "rank", "id").collect()))
+
+    want = both()
+    for block in (vectors.QUERY_BLOCK, 40):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        monkeypatch.setattr(vectors, "SCORES", 600)
+        assert max(hi - lo for lo, hi in vectors._slices(150, 40)) == 15
+        assert both() == want
+
+
+@pytest.mark.parametrize("blocks", [None, 30])
+def test_searches_by_best_vector_hand_on_items_not_vectors(spark, monkeypatch, blocks):
+    if blocks:
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", 10)
+        monkeypatch.setattr(vectors, "CORPUS_BLOCK", blocks)
+        monkeypatch.setattr(vectors, "SCORES", 100)
+    names = _vectors(spark, 120, 6, "normalized_name")
+    link = names.select("normalized_name", F.when(F.col("normalized_name") % 13 != 5, F.col("normalized_name") % 13).alias("item_id"))
+    queries = _vectors(spark, 25, 7, "qid")
+    sims = vectors.similarities(queries, names, "normalized_name").join(link, "normalized_name").groupBy("qid", "item_id").agg(F.max("score").alias("score"))
+    want = [(r["qid"], r["rank"], r["item_id"]) for r in vectors._ranked(sims, ["qid"], 3).collect()]
+    got = [(r["qid"], r["rank"], r["item_id"]) for r in vectors.subject_search(queries, names, link, 3).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(r[2] is None for r in got)
+    linked = names.join(link, "normalized_name")
+    assert vectors.best_by_item(queries, linked).count() <= 25 * 13 * (4 if blocks else 1) < 25 * 120
+    assert vectors.best_by_item(queries, linked, 3).count() <= 25 * 3 * (4 if blocks else 1)
