@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stopover.functions.geo import LINE
-from stopover.operators import graph, network, vectors
+from stopover.operators import graph, network, spatial, vectors
 
 
 def test_arcs_are_dealt_once_and_hubs_stay_in_chunks(spark):
@@ -75,3 +75,16 @@ def test_searches_by_best_vector_hand_on_items_not_vectors(spark, monkeypatch, b
     linked = names.join(link, "normalized_name")
     assert vectors.best_by_item(queries, linked).count() <= 25 * 13 * (4 if blocks else 1) < 25 * 120
     assert vectors.best_by_item(queries, linked, 3).count() <= 25 * 3 * (4 if blocks else 1)
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    points = spark.range(40).select(F.col("id").alias("p"), (F.lit(139.0) + F.col("id") * 0.001).alias("lon"), F.lit(35.0).alias("lat"))
+    near = spatial.within_distance(points, points.withColumnRenamed("p", "a"), 300.0, "p")
+    corner = F.array(*[F.struct((F.col("lon") + 0.001 * x).alias("lon"), (F.col("lat") + 0.001 * y).alias("lat")) for x, y in [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)]]).cast(LINE)
+    areas = points.select(F.col("p").alias("area_idx"), F.array(corner).alias("rings"))
+    inside = spatial.points_in_areas(points, areas, "p", "area_idx")
+    ways = points.select(F.col("p").alias("way_id"), F.array(F.struct("lon", "lat"), F.struct((F.col("lon") + 0.005).alias("lon"), "lat")).cast(LINE).alias("line"))
+    met = spatial.line_area_crossings(ways, areas, "way_id", "area_idx")
+    for df in (near, inside, met):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+        assert df.count() > 40
