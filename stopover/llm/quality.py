@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from stopover.llm.common import BLANKS, settle, words
 
 BUCKETS = 10_000
-# Trusted documents that the target counts are fitted on, those with the smallest hashed ids; the raw counts take all documents.
-TRUSTED_DOCS = 20_000
+# Up to so many trusted ids go to every task (about 16 bytes each); beyond, the texts are dealt by id. All of them are used.
+BROADCAST_TRUSTED = 1_000_000
 # One in so many trusted documents is left out of the fit; these set the cut: at most the share QUANTILE of them scores less.
 HELD_OUT = 5
 QUANTILE = 0.01
@@ -57,23 +57,29 @@ def _grams(word: str = "w") -> str:
     return f"concat({one}, {two})"
 
 
-def trusted_ids(labels: DataFrame, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
-    """(doc_id, _held): documents labelled as of quality and not toxic, at most ``trusted_docs``; ``_held``: not fitted on."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, _held): all documents labelled as of quality and not toxic; ``_held``: not fitted on."""
     ids = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_docs).withColumn("_held", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(HELD_OUT)) == 0)
+    return ids.withColumn("_held", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(HELD_OUT)) == 0)
 
 
-def fit_ratio(documents: DataFrame, labels: DataFrame, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
+def _sent(ids: DataFrame) -> DataFrame:
+    """Counted ids as the side of a join: sent to every task while they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_TRUSTED else ids.hint("merge")
+
+
+def fit_ratio(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row with the log ratio of trusted over raw probability of each bucket, both smoothed by one.
 
     Trusted are those of ``trusted_ids`` that are not held out; raw are all documents.
     """
     spark = documents.sparkSession
-    trusted = trusted_ids(labels, trusted_docs).where("not _held").select("doc_id", F.lit(1).alias("_t"))
+    trusted = trusted_ids(labels).where("not _held").select("doc_id", F.lit(1).alias("_t"))
     grams = (
-        documents.select("doc_id", words(F.col("text"), BLANKS).alias("w"))
-        .join(F.broadcast(trusted), "doc_id", "left")  # at most trusted_docs ids
-        .select(F.coalesce("_t", F.lit(0)).alias("t"), F.explode(F.expr(_grams())).alias("b"))
+        documents.select("doc_id", "text")
+        .join(_sent(trusted), "doc_id", "left")
+        .select(F.coalesce("_t", F.lit(0)).alias("t"), words(F.col("text"), BLANKS).alias("w"))
+        .select("t", F.explode(F.expr(_grams())).alias("b"))
     )
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     filled = spark.range(BUCKETS).join(counts, F.col("id") == F.col("b"), "left").select("id", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
@@ -97,7 +103,7 @@ def _judged(documents: DataFrame, ratio: DataFrame) -> DataFrame:
 
 def fit_cut(documents: DataFrame, labels: DataFrame, ratio: DataFrame) -> DataFrame:
     """One row ``_cut``: the QUANTILE of the scores of held-out trusted documents that pass the base rules (none: THRESHOLD)."""
-    held = documents.select("doc_id", "text").join(F.broadcast(trusted_ids(labels).where("_held")), "doc_id", "left_semi")
+    held = documents.select("doc_id", "text").join(_sent(trusted_ids(labels).where("_held")), "doc_id", "left_semi")
     cut = F.expr(f"percentile_disc({QUANTILE}) within group (order by score)")
     judged = _judged(held, ratio).select(F.inline(F.array(F.struct("base_failed", "score"))))  # as in quality_rules
     return judged.where("not base_failed").agg(F.coalesce(cut, F.lit(THRESHOLD)).alias("_cut"))
