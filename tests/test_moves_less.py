@@ -88,3 +88,32 @@ def test_exploded_sides_are_not_broadcast(spark):
     for df in (near, inside, met):
         assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
         assert df.count() > 40
+
+
+def test_stations_stay_where_they_lie(spark, monkeypatch):
+    def line(x, y):
+        return F.array(F.struct(x.alias("lon"), F.lit(35.0).alias("lat")), F.struct(y.alias("lon"), F.lit(35.0).alias("lat"))).cast(LINE)
+
+    head = [F.lit("O").alias("operator"), F.lit("L").alias("line_name"), F.lit("11").alias("rail_class"), F.lit("4").alias("operator_type")]
+    # S2 is drawn against its section, S3 has none, S4 has one drawn both ways.
+    rows = spark.createDataFrame([("S1", 139.0, 139.1), ("S2", 139.2, 139.1), ("S3", 139.5, 139.6), ("S4", 139.7, 139.8)], "c string, x double, y double")
+    platforms = rows.select(*head, F.col("c").alias("station_code"), F.col("c").alias("station_name"), F.lit("G").alias("group_code"), line(F.col("x"), F.col("y")).alias("line"))
+    sections = spark.createDataFrame([(139.0, 139.1), (139.1, 139.2), (139.7, 139.8), (139.8, 139.7)], "x double, y double").select(*head, line(F.col("x"), F.col("y")).alias("line"))
+    ends = {(r["edge_id"], r["source"], r["target"]) for r in network.section_ends(sections).collect()}
+
+    def check(stations):
+        got = {r["station_code"]: r for r in stations.collect()}
+        assert sorted(got) == ["S1", "S2", "S3", "S4"]
+        assert all((got[c]["edge_id"], got[c]["node_a"], got[c]["node_b"]) in ends for c in ("S1", "S2", "S4"))
+        assert got["S2"]["node_a"] == got["S1"]["node_b"] and got["S3"]["edge_id"] is None and got["S3"]["node_a"] is None
+        assert abs(got["S2"]["lon"] - 139.15) < 1e-9
+
+    one = network.build_stations(platforms, sections)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan, plan
+    check(one)
+    # A code with several platforms takes the one that has a section.
+    twice = platforms.unionByName(platforms.where("station_code = 'S3'").withColumn("station_code", F.lit("S1")))
+    check(network.build_stations(twice, sections))
+    monkeypatch.setattr(network, "BROADCAST_SHAPES", 0)
+    check(network.build_stations(platforms, sections))
