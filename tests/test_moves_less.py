@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stopover.functions.geo import LINE
-from stopover.operators import graph, network, spatial, vectors
+from stopover.operators import graph, network, places, spatial, vectors
 
 
 def test_arcs_are_dealt_once_and_hubs_stay_in_chunks(spark):
@@ -117,3 +117,27 @@ def test_stations_stay_where_they_lie(spark, monkeypatch):
     check(network.build_stations(twice, sections))
     monkeypatch.setattr(network, "BROADCAST_SHAPES", 0)
     check(network.build_stations(platforms, sections))
+
+
+def test_matched_places_are_merged_not_sent_round(spark):
+    def ring(x):
+        pts = [(x, 35.0), (x + 0.01, 35.0), (x + 0.01, 35.01), (x, 35.01), (x, 35.0)]
+        return F.array(*[F.struct(F.lit(a).alias("lon"), F.lit(b).alias("lat")) for a, b in pts]).cast(LINE)
+
+    areas = spark.range(1).select(
+        (F.col("id") + 1).cast("int").alias("area_idx"), F.lit("way").alias("osm_type"), F.lit(7).cast("long").alias("osm_id"), F.lit("leisure=park").alias("kind"), F.lit("A").alias("name"),
+        F.lit("Q1; Q9").alias("wikidata"), F.lit(1_000_000).alias("area_m2"), F.array(ring(139.0)).alias("rings"), F.array(ring(139.0)).alias("outers"))
+    spots = spark.createDataFrame([(1, "wikidata", "Q1", 139.5), (2, "wikidata", "Q2", 139.005), (3, "sample", None, 140.0)], "spot_id int, source string, ext_id string, lon double")
+    spots = spots.select("*", F.lit(35.005).alias("lat"), F.lit("公園・庭園").alias("group"))
+    matched = places.match_area(spots, areas)
+    points = spark.createDataFrame([(5, "main", "", "", 139.0, 35.0)], "node_id int, entrance string, barrier string, access string, lon double, lat double")
+    tagged = places.tagged_entrances(spark.createDataFrame([(1, 5)], "area_idx int, node_id int"), points)
+    crossings = spark.createDataFrame([(1, "footway", 139.01, 35.002)], "area_idx int, kind string, lon double, lat double")
+    for df, want in (
+        (matched, [(1, 1, "wikidata"), (2, 1, "contains"), (3, None, "")]),
+        (places.access_points(matched, areas, tagged, crossings).select("spot_id", "source", "kind"), [(1, "osm_entrance", "main"), (2, "osm_entrance", "main")]),
+    ):
+        rows = sorted(map(tuple, df.collect()))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert rows == want
+        assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan, plan
