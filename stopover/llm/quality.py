@@ -39,14 +39,13 @@ def _covered(h: str) -> Column:
 def text_signals(documents: DataFrame) -> DataFrame:
     """``documents`` with its words ``w`` and the rule signals of every whole text (null: none)."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(" \t\n\x0b\f\r")) != "")
     rows = documents.withColumns({
         "w": words(F.col("text"), BLANKS),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "_lines": lines,
     })
-    rows = rows.withColumns({"n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_words": F.size("w").cast("long"), "_h": repeated_words()})
+    rows = rows.withColumns({"word_chars": F.length(F.array_join("w", "")).cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_words": F.size("w").cast("long"), "_h": repeated_words()})
     return rows.withColumn("n_repeat_words", _covered("_h")).drop("_lines", "_h")
 
 
