@@ -22,7 +22,7 @@ GROUP_PIECES = 16_384
 # Sequences of a group that are fuller than this stay; the rest of all groups meet again in the next round.
 FULL = 0.97
 # Pre-tokens of one generation whose ids a worker remembers; it holds two, and those not met again in a generation go.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 # Fixed values of the vocabulary: the pre-token pattern, with the Unicode blanks spelled out.
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
