@@ -19,6 +19,10 @@ from stopover.session import cut_lineage, skew_join
 QUERY_BLOCK = 4096
 # Most corpus rows one blocked group holds.
 CORPUS_BLOCK = 50_000
+# Keys of several rows that are sent to every task.
+BROADCAST_KEYS = 200_000
+# Most names or scores, over all its texts, that a task of an exact search holds.
+SEARCH_ROWS = 4_000_000
 # Most scores a task holds at once, 32 MiB; larger products are taken in slices of items.
 SCORES = 1 << 22
 
@@ -47,19 +51,26 @@ def embed(df: DataFrame, text: str, model: str, role: str = "passage", encoder:
 
 
 def ngram_weights(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Sparse hashed 2-gram vectors: (key, bucket, weight), unit length per key.
+    """Non-zero entries of each key's hashed 2-gram unit vector: (key, bucket, weight); rows without key or text count for nothing.
 
-    Grams are counted per text before they are hashed, so each distinct gram of a text
-    costs one hash and the shuffles carry counts.
+    A text is counted where it lies. Only keys of several rows, found by counting keys, have their counts added up in a shuffle.
     """
-    from stopover.functions.text import char_bigrams, md5_bucket
-
-    grams = df.select(key, F.explode(char_bigrams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    buckets = grams.groupBy(key, md5_bucket(F.col("gram")).alias("bucket")).agg(F.sum("n").alias("n"))
+    rows = df.where(F.col(key).isNotNull()).select(key, text)
+    twice = cut_lineage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key))
+    n = twice.count()
+    known = rows.where(F.col(text).isNotNull())
+    if not n:
+        return _entries(known, key, ngram_vector(F.col(text)), "weight")
+    few = F.broadcast(twice) if n <= BROADCAST_KEYS else twice
+    single = _entries(known.join(few, key, "left_anti"), key, ngram_vector(F.col(text)), "weight")
+    counts = _entries(known.join(few, key, "left_semi"), key, ngram_counts(F.col(text)), "n")
+    buckets = counts.groupBy(key, "bucket").agg(F.sum("n").alias("n"))
     norms = buckets.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return buckets.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+    return single.unionByName(buckets.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight")))
+
+
+def _entries(rows: DataFrame, key: str, vector: Column, name: str) -> DataFrame:
+    return rows.select(key, F.posexplode(vector).alias("bucket", name)).where(F.col(name) > 0)
 
 
 # ------------------------------------------------------------------ nearest neighbours

@@ -12,6 +12,26 @@ from stopover.functions import text
 from stopover.operators import vectors
 
 
+def test_ngram_weights_of_unique_keys_need_no_shuffle(spark):
+    rows = [(1, "ab ab"), (2, "駅北口"), (3, None), (4, ""), (None, "lost")]
+    got = vectors.ngram_weights(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.k for r in got.collect()} == {1, 2, 4}
+
+
+def test_ngram_weights_add_up_rows_of_one_key(spark, monkeypatch):
+    rows = [(1, "ab ab"), (1, "日本語"), (1, None), (2, "x"), (2, "x"), (3, "plain"), (None, "a"), (None, "b"), (4, None)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    for few in (0, 10):
+        monkeypatch.setattr(vectors, "BROADCAST_KEYS", few)
+        got = {(r.k, r.bucket): r.weight for r in vectors.ngram_weights(df, "k", "t").collect()}
+        want = {}
+        for k in (1, 2, 3):
+            v = text.bigram_matrix([t for key, t in rows if key == k and t is not None]).sum(axis=0)
+            want |= {(k, int(i)): v[i] / np.sqrt((v * v).sum()) for i in np.flatnonzero(v)}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+
+
 def test_a_batch_of_vectors_holds_one_step_beside_the_result():
     rng = random.Random(4)
     texts = pa.array([None if i % 9 == 0 else "".join(rng.choices("abc déf駅北口", k=2000)) for i in range(2000)])
