@@ -272,11 +272,15 @@ def exact_search(queries: DataFrame, item_subject: DataFrame, limit: int = 5) ->
     """Items ranked by how many of their subjects' normalised names occur in the query text.
 
     ``queries``: (qid, text) with text already normalised; ``item_subject``: (item_id, normalized_name).
+    A text may hold every name and score every item, so the number of tasks follows from the counts of texts, names and items.
     """
     hits = contains_join(queries, item_subject.select("normalized_name").distinct(), "qid", "text", "normalized_name")
+    widest = max(item_subject.agg(F.countDistinct("normalized_name"), F.countDistinct("item_id")).first())
+    least = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, -(-queries.count() * widest // SEARCH_ROWS))
     # One shuffle by query serves the distinct names, the items' scores and the ranking.
     scores = (
-        hits.repartition("qid").distinct().join(item_subject.select("item_id", "normalized_name").distinct(), "normalized_name")
+        hits.repartition(tasks, "qid").distinct().join(item_subject.select("item_id", "normalized_name").distinct(), "normalized_name")
         .groupBy("qid", "item_id")
         .agg(F.count(F.lit(1)).cast("double").alias("score"))
     )

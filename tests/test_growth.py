@@ -32,6 +32,17 @@ def test_ngram_weights_add_up_rows_of_one_key(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
 
 
+def test_exact_search_has_tasks_by_counts(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SEARCH_ROWS", 30)
+    queries = spark.createDataFrame([(i, f"red {'blue' if i % 2 else 'green'}") for i in range(100)], "qid long, text string")
+    subjects = spark.createDataFrame([(1, "red"), (1, "blue"), (2, "green"), (3, "red")], "item_id long, normalized_name string")
+    got = vectors.exact_search(queries, subjects)
+    assert "hashpartitioning(qid" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 10)" in plan, plan
+    rows = {(r.qid, r.rank): (r.item_id, r.score) for r in got.collect()}
+    assert rows[1, 1] == (1, 2.0) and rows[1, 2] == (3, 1.0) and (1, 3) not in rows
+    assert rows[2, 1] == (1, 1.0) and rows[2, 2] == (2, 1.0) and rows[2, 3] == (3, 1.0)
+
+
 def test_a_batch_of_vectors_holds_one_step_beside_the_result():
     rng = random.Random(4)
     texts = pa.array([None if i % 9 == 0 else "".join(rng.choices("abc déf駅北口", k=2000)) for i in range(2000)])
