@@ -547,6 +547,16 @@ def _same_topic(near: DataFrame, posts: DataFrame) -> DataFrame:
     )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row; inside a lambda a plain column's expression is computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _one_more(counts: Column, place: Column) -> Column:
+    """Counts with one more at a place; -1 is none."""
+    return _once(place, lambda p: F.transform(counts, lambda x, i: x + (i == p).cast("double")))
+
+
 def chain_vectors(posts: DataFrame) -> DataFrame:
     """Hashed 2-gram unit vector of each post's reply chain read from the root to the post: (conv, post_id, embedding).
 
@@ -569,22 +579,21 @@ def chain_vectors(posts: DataFrame) -> DataFrame:
     while not state.where(F.col("top").isNotNull()).isEmpty():
         up = state.select("conv", F.col("post_id").alias("top"), *[F.col(c).alias(f"_{c}") for c in ("top", "n", "first", "last", "counts")])
         state = cut_lineage(
-            state.join(up, ["conv", "top"], "left").withColumn("_seam", seam).select(
+            state.join(up, ["conv", "top"], "left").select(
                 "conv", "post_id", F.col("_top").alias("top"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),
                 F.when(F.col("_n") > 0, F.col("_first")).otherwise(F.col("first")).alias("first"),
                 F.when(F.col("n") > 0, F.col("last")).otherwise(F.coalesce("_last", "last")).alias("last"),
                 F.when(F.col("_n").isNull(), F.col("counts")).otherwise(
-                    F.transform(F.zip_with("counts", "_counts", lambda x, y: x + y), lambda x, i: x + (i == F.col("_seam")).cast("double"))
+                    _one_more(F.zip_with("counts", "_counts", lambda x, y: x + y), seam)
                 ).alias("counts"),
             )
         )
     # A chain of one character has that gram alone, one without any the empty gram.
     alone = F.when(F.col("n") < 2, md5_bucket(F.when(F.col("n") == 1, F.col("first")).otherwise(F.lit("")))).otherwise(F.lit(-1))
-    whole = state.withColumn("_alone", alone).withColumn(
-        "counts", F.transform("counts", lambda x, i: x + (i == F.col("_alone")).cast("double"))
-    )
-    length = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda t, x: t + x * x))
-    return whole.withColumn("_length", length).select("conv", "post_id", F.transform("counts", lambda x: x / F.col("_length")).alias("embedding"))
+    unit = _once(_one_more(F.col("counts"), alone), lambda c: _once(
+        F.sqrt(F.aggregate(c, F.lit(0.0), lambda t, x: t + x * x)), lambda length: F.transform(c, lambda x: x / length)
+    ))
+    return state.select("conv", "post_id", unit.alias("embedding"))
 
 
 def nearest_context(posts: DataFrame, contexts: DataFrame, k: int = 3) -> DataFrame:

@@ -32,6 +32,12 @@ def test_ngram_weights_add_up_rows_of_one_key(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
 
 
+def test_seams_and_lengths_of_chains_are_computed_once_a_row(spark):
+    posts = spark.createDataFrame([("c", "p0", 0, [], "ab"), ("c", "p1", 1, ["p0"], "cd")], "conv string, post_id string, seq int, reply_to array<string>, text string")
+    plan = vectors.chain_vectors(posts)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"/ sqrt\(aggregate", plan, re.I) and not re.search(r"= CASE WHEN[^=]*md5", plan, re.I), plan
+
+
 def test_exact_search_has_tasks_by_counts(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SEARCH_ROWS", 30)
     queries = spark.createDataFrame([(i, f"red {'blue' if i % 2 else 'green'}") for i in range(100)], "qid long, text string")
