@@ -51,26 +51,25 @@ def embed(df: DataFrame, text: str, model: str, role: str = "passage", encoder:
 
 
 def ngram_weights(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Non-zero entries of each key's hashed 2-gram unit vector: (key, bucket, weight); rows without key or text count for nothing.
+    """Non-zero entries of each key's hashed 2-gram unit vector: (key, bucket, weight); a null text has the null bucket alone.
 
     A text is counted where it lies. Only keys of several rows, found by counting keys, have their counts added up in a shuffle.
     """
     rows = df.where(F.col(key).isNotNull()).select(key, text)
     twice = cut_lineage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key))
     n = twice.count()
-    known = rows.where(F.col(text).isNotNull())
     if not n:
-        return _entries(known, key, ngram_vector(F.col(text)), "weight")
+        return _entries(rows, key, text, ngram_vector, "weight")
     few = F.broadcast(twice) if n <= BROADCAST_KEYS else twice
-    single = _entries(known.join(few, key, "left_anti"), key, ngram_vector(F.col(text)), "weight")
-    counts = _entries(known.join(few, key, "left_semi"), key, ngram_counts(F.col(text)), "n")
-    buckets = counts.groupBy(key, "bucket").agg(F.sum("n").alias("n"))
+    single = _entries(rows.join(few, key, "left_anti"), key, text, ngram_vector, "weight")
+    buckets = _entries(rows.join(few, key, "left_semi"), key, text, ngram_counts, "n").groupBy(key, "bucket").agg(F.sum("n").alias("n"))
     norms = buckets.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return single.unionByName(buckets.join(norms, key).select(key, "bucket", (F.col("n") / F.col("norm")).alias("weight")))
 
 
-def _entries(rows: DataFrame, key: str, vector: Column, name: str) -> DataFrame:
-    return rows.select(key, F.posexplode(vector).alias("bucket", name)).where(F.col(name) > 0)
+def _entries(rows: DataFrame, key: str, text: str, encoder: Encoder, name: str) -> DataFrame:
+    entries = F.posexplode_outer(F.when(F.col(text).isNotNull(), encoder(F.col(text)))).alias("bucket", name)
+    return rows.select(key, entries).withColumn(name, F.coalesce(name, F.lit(1.0))).where(F.col(name) > 0)
 
 
 # ------------------------------------------------------------------ nearest neighbours

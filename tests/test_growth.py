@@ -16,7 +16,8 @@ def test_ngram_weights_of_unique_keys_need_no_shuffle(spark):
     rows = [(1, "ab ab"), (2, "駅北口"), (3, None), (4, ""), (None, "lost")]
     got = vectors.ngram_weights(spark.createDataFrame(rows, "k long, t string"), "k", "t")
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
-    assert {r.k for r in got.collect()} == {1, 2, 4}
+    assert {r.k for r in got.collect()} == {1, 2, 3, 4}
+    assert [(r.bucket, r.weight) for r in got.where("k = 3").collect()] == [(None, 1.0)]
 
 
 def test_ngram_weights_add_up_rows_of_one_key(spark, monkeypatch):
@@ -28,7 +29,9 @@ def test_ngram_weights_add_up_rows_of_one_key(spark, monkeypatch):
         want = {}
         for k in (1, 2, 3):
             v = text.bigram_matrix([t for key, t in rows if key == k and t is not None]).sum(axis=0)
-            want |= {(k, int(i)): v[i] / np.sqrt((v * v).sum()) for i in np.flatnonzero(v)}
+            v = np.append(v, sum(t is None for key, t in rows if key == k))
+            want |= {(k, int(i) if i < text.NGRAM_DIM else None): v[i] / np.sqrt((v * v).sum()) for i in np.flatnonzero(v)}
+        want[4, None] = 1.0
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
 
 
