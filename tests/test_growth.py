@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stopover.functions import text
-from stopover.operators import vectors
+from stopover.operators import graph, vectors
 
 
 def test_ngram_weights_of_unique_keys_need_no_shuffle(spark):
@@ -64,3 +64,18 @@ def test_a_batch_of_vectors_holds_one_step_beside_the_result():
     assert peak < 2000 * text.NGRAM_DIM * 8 + 40 * 200_000 * 4
     want = text.bigram_matrix([t.as_py() for t in texts[1:9]])
     assert np.allclose(np.array(got[1:9].to_pylist()), want / np.linalg.norm(want, axis=1, keepdims=True))
+
+
+def test_a_star_step_moves_its_edges_once_to_their_least_neighbours(spark):
+    edges = spark.createDataFrame([(i, i // 2) for i in range(1, 50)], "u long, v long")
+    try:
+        found = []
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            joined = graph._with_min(edges)
+            found.append(sorted(map(tuple, joined.collect())))
+            if adaptive == "true":
+                assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert found[0] == found[1] == [(i, i // 2, i // 2) for i in range(1, 50)]
