@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopover.llm.common import settle, steps
+from stopover.llm.common import settle, span_hashes, steps
 
 CAPACITY = 2048
 END_ID = 0
@@ -21,8 +24,10 @@ END_ID = 0
 GROUP_PIECES = 16_384
 # Sequences of a group that are fuller than this stay; the rest of all groups meet again in the next round.
 FULL = 0.97
-# Pre-tokens of one generation whose ids a worker remembers; it holds two, and those not met again in a generation go.
-REMEMBERED = 100_000
+# Bytes of the longest pre-token merged in numpy steps; a longer one takes too many rounds and goes to the tokenizer itself.
+LONGEST = 64
+# Pre-tokens whose ids a worker keeps beyond a step.
+REMEMBERED = 0
 
 # Fixed values of the vocabulary: the pre-token pattern, with the Unicode blanks spelled out.
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -37,52 +42,195 @@ def _encoder(path: str):
 
 
 class _Words:
-    """Ids of pre-tokens, each encoded once as long as it keeps coming up."""
+    """Ids of texts by a byte-level vocabulary; each different pre-token of a step is merged once, all of them together."""
 
     def __init__(self, path: str):
-        import regex
-
         self.tokenizer = _encoder(path)
-        self.find = regex.compile(PRE_TOKENS).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a whole text."""
-        if any(s in text for s in self.special):
-            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        parts = self.find(text)
-        try:
-            return b"".join([self.ids[p] for p in parts])
-        except KeyError:
-            self._learn(parts)
-            return b"".join([self.ids[p] for p in parts])
-
-    def _learn(self, parts: list[str]) -> None:
-        """Have the ids of all ``parts`` in the young generation."""
-        if len(self.ids) > REMEMBERED:
-            self.before, self.ids = self.ids, {}
-        ids, before = self.ids, self.before
-        missing = [p for p in dict.fromkeys(parts) if p not in ids]
-        new = []
-        for p in missing:
-            known = before.get(p)
-            if known is None:
-                new.append(p)
-            else:
-                ids[p] = known
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids[p] = _packed(e.ids)
-
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+        self.merges = _Merges.of(json.loads(self.tokenizer.to_str()))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit ids of whole texts, one after the other, and the bounds of each text."""
+        apart = [i for i, t in enumerate(texts) if any(s in t for s in self.special)] if self.merges else list(range(len(texts)))
+        if not apart:
+            return self._merged(texts)
+        plain, ends = self._merged([t for i, t in enumerate(texts) if i not in set(apart)]) if self.merges else (None, [0])
+        whole, tops = self._by_library([texts[i] for i in apart])
+        merged, own = zip(ends, ends[1:], strict=False), dict(zip(apart, zip(tops, tops[1:], strict=False), strict=True))
+        lists = [whole[slice(*own[i])] if i in own else plain[slice(*next(merged))] for i in range(len(texts))]
+        return np.concatenate(lists), np.append(0, np.cumsum([len(x) for x in lists]))
+
+    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and bounds of each text as the tokenizer itself gives them."""
+        lists = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*lists, np.zeros(0, np.uint32)]), np.append(0, np.cumsum([len(x) for x in lists], dtype=np.int64))
+
+    def _merged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts without special tokens."""
+        letter = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        edges = np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
+        begins = _pre_tokens(letter, edges)
+        byte = np.append(0, np.cumsum(1 + (letter > 0x7F).astype(np.int8) + (letter > 0x7FF) + (letter > 0xFFFF), dtype=np.int64))
+        start, end = byte[begins], byte[np.append(begins[1:], len(letter))[: len(begins)]]
+        _, first, part = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        size = end - start
+        if (size != size[first][part]).any() or (data != data[_spread(start[first][part], size)]).any():
+            first = part = np.arange(len(start))  # two pre-tokens with one hash: each is merged where it stands
+        ids, bounds = self._ids(data, start[first], size[first])
+        n_ids = np.diff(bounds)[part]
+        return ids[_spread(bounds[:-1][part], n_ids)], np.append(0, np.cumsum(n_ids))[np.searchsorted(begins, edges)]
+
+    def _ids(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of every pre-token and their bounds."""
+        long = np.flatnonzero(size > LONGEST)
+        ids, ends = self._by_library([data[start[i] : start[i] + size[i]].tobytes().decode() for i in long.tolist()])
+        done = [(np.repeat(long, np.diff(ends)), ids), *self.merges.apply(data, start, size, np.flatnonzero(size <= LONGEST))]
+        word, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        return ids[np.argsort(word, kind="stable")].astype(np.uint32), np.append(0, np.cumsum(np.bincount(word, minlength=len(size))))
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of runs of the given sizes, one run after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+LETTER, NUMBER, BLANK, OTHER = range(4)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Kind of every character: letter, number, blank or other."""
+    import regex
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    kinds = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, f"[{_S}]")):
+        found = "".join(regex.findall(pattern, every))
+        kinds[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
+    return kinds
+
+
+def _pre_tokens(letter: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where each pre-token of PRE_TOKENS begins; none crosses one of ``edges``.
+
+    Letters, numbers and others run on with their kind and take a space before them along. Of other blanks the last one
+    before a run stands alone. An apostrophe that begins a pre-token and one of the endings make one of their own.
+    """
+    n = len(letter)
+    kind = _kinds()[letter]
+    edge = np.zeros(n + 1, bool)
+    edge[edges] = True
+    edge[n] = True
+    new = edge[:n].copy()
+    new[1:] |= kind[1:] != kind[:-1]  # a run of one kind begins
+    blank = kind == BLANK
+    led = np.zeros(n, bool)  # a space right before takes the place of the beginning
+    led[1:] = (letter[:-1] == 32) & ~edge[1:n]
+    lone = np.zeros(n, bool)
+    lone[:-1] = blank[:-1] & ~blank[1:] & ~edge[1:n]
+    begin = np.where(blank, new | lone, new & ~led)
+    mark = np.flatnonzero(begin & (letter == 39))
+    stops = np.append(np.flatnonzero(edge), n)
+    room = stops[np.searchsorted(stops, mark, "right").clip(max=len(stops) - 1)] - mark
+    a, b = (np.append(letter, [0, 0])[mark + k] for k in (1, 2))
+    two = (room > 1) & np.isin(a, [ord(c) for c in "stmd"])
+    three = (room > 2) & (((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l")))
+    for short, length in ((mark[two], 2), (mark[three], 3)):
+        begin[short + 1] = False
+        rest = short + length
+        begin[rest[rest < n]] = True
+    return np.flatnonzero(begin)
+
+
+class _Merges:
+    """The merges of a byte-level BPE vocabulary as arrays, applied to many pre-tokens at once.
+
+    Each round merges in every word all places of its lowest-ranked pair, from left to right. That is the order of one merge
+    at a time as long as a merge never makes a pair of lower rank than its own, which ``of`` checks.
+    """
+
+    def __init__(self, first: np.ndarray, keys: np.ndarray, made: np.ndarray):
+        self.first, self.made, self.none = first.astype(np.int32), made.astype(np.int32), len(keys)
+        self.pairs = pd.Index(keys)
+
+    @classmethod
+    def of(cls, vocabulary: dict) -> _Merges | None:
+        """None if the vocabulary cannot be applied in this order or has options beyond plain merging."""
+        model, before = vocabulary["model"], vocabulary["pre_tokenizer"] or {}
+        vocab = model["vocab"]
+        bytewise = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not vocabulary["normalizer"]
+        letters = _byte_letters()
+        plain = bytewise and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+        if not plain or not all(c in vocab for c in letters):
+            return None
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        left, right, made = (np.array([vocab[t] for t in x], np.int64) for x in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
+        rank = np.arange(len(pairs))
+        latest = np.full(max(vocab.values()) + 1, -1)
+        latest[made] = rank  # the last merge that makes a token
+        keys = left << 32 | right
+        if (np.maximum(latest[left], latest[right]) >= rank).any() or len(np.unique(keys)) < len(keys):
+            return None
+        return cls(np.array([vocab[c] for c in letters]), keys, made)
+
+    def apply(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(word, id) of the given words, none of them empty, in the order of each word's ids."""
+        if not len(words):
+            return []
+        size = size[words]
+        starts = np.cumsum(size) - size
+        token, done = self.first[data[_spread(start[words], size)]], []
+        rank = np.full(len(token), self.none, np.int32)  # of the pair that a token begins
+
+        def look(i: np.ndarray) -> None:
+            found = self.pairs.get_indexer(token[i].astype(np.int64) << 32 | token[i + 1])
+            rank[i] = np.where(found < 0, self.none, found)
+
+        last = np.zeros(len(token), bool)
+        last[starts + size - 1] = True
+        look(np.flatnonzero(~last))
+        while True:
+            low = np.minimum.reduceat(rank, starts)
+            live = low < self.none
+            if not live.all():
+                on = np.repeat(live, size)
+                done.append((np.repeat(words[~live], size[~live]), token[~on]))
+                token, rank, last = token[on], rank[on], last[on]
+                words, size, low = words[live], size[live], low[live]
+                if not len(words):
+                    return done
+                starts = np.cumsum(size) - size
+            hit = np.flatnonzero(rank == np.repeat(low, size))
+            # of places that overlap, as in a run of one letter, every second one
+            run = np.flatnonzero(np.append(True, np.diff(hit) > 1))
+            if len(run) < len(hit):
+                hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0]
+            token[hit] = self.made[rank[hit]]
+            last[hit] = last[hit + 1]
+            stay = np.ones(len(token), bool)
+            stay[hit + 1] = False
+            size = np.add.reduceat(stay, starts, dtype=np.int64)
+            starts = np.cumsum(size) - size
+            token, rank, last = token[stay], rank[stay], last[stay]
+            at = hit - np.arange(len(hit))
+            rank[at] = self.none
+            look(at[~last[at]])
+            before = at[at > 0] - 1
+            look(before[~last[before]])
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = count(256)
+    return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
 @cache
 def _words_of(path: str) -> _Words:
-    """The memory of one Python worker, kept from task to task."""
+    """The vocabulary of one Python worker, kept from task to task."""
     return _Words(path)
 
 
@@ -91,15 +239,17 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Da
 
     A document is its ids and one end id; a null text is the end id alone. Only documents longer than ``capacity`` are cut,
     the first piece taking what is left over, so that all further ones are full. Pre-tokens never share a token in a
-    byte-level vocabulary, so each is encoded once and looked up after that.
+    byte-level vocabulary, so each different one of a step is encoded at most once.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _words_of(tokenizer), _packed([END_ID])
+        words, end = _words_of(tokenizer), struct.pack("<I", END_ID)
         for batch in steps(batches):
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = memoryview(words.encode(text or "") + end)
+            ids_of_all, ends = words.encode([text or "" for text in batch.column("text").to_pylist()])
+            held = memoryview(ids_of_all.astype("<u4").tobytes())
+            for doc, x, y in zip(batch.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                ids = memoryview(bytes(held[4 * x : 4 * y]) + end)
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 bounds = [0, *range(first, n + 1, capacity)]
