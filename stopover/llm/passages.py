@@ -18,6 +18,8 @@ WINDOW = 13
 ANCHOR = 8
 NO_ID = (1 << 63) - 1  # a null doc_id counts as larger than any
 WHOLE = (1 << 31) - 1
+# Bits of the map of documents that go on (8 MB): a document marked by chance only costs its way through the shuffle.
+SLOTS = 1 << 26
 
 
 def _anchors(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,6 +114,16 @@ def _copies(rows: DataFrame) -> DataFrame:
     return settle(skew_join(named, shared, ["t1", "t2"], [F.col("doc")]).where("doc > first").select("doc", "key").distinct())
 
 
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most documents (doc, key) that ``wanted`` does not hold; they are told apart where they lie, by a map of bits."""
+    slot = F.pmod(F.xxhash64("doc", "key"), F.lit(SLOTS)).alias("slot")
+    bits = wanted.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    met = rows.withColumn("slot", slot).withColumn("bucket", F.bitmap_bucket_number("slot")).join(F.broadcast(settle(bits)), "bucket")
+    place = F.bitmap_bit_position("slot")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(rows.columns)
+
+
 def _repeated(edges: DataFrame) -> DataFrame:
     """Edges seen twice or more, with their nodes and their first place."""
     first = edges.groupBy("e").agg(F.min(F.struct("doc", "key", "pos", "nodes")).alias("s"), F.count("*").alias("c")).where("c > 1")
@@ -150,7 +162,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     near = near.groupBy("doc", "key").agg(F.collect_set("pos").alias("anchors"))
     # not an anti join: it would be moved below the join on h and deal all anchors out by document first
     near = settle(near.join(copies.withColumn("copy", F.lit(True)), ["doc", "key"], "left").where("copy is null").drop("copy"))
-    edges = rows.join(near, ["doc", "key"]).mapInArrow(_edge_rows, "e long, nodes long, doc long, key long, pos int")
+    # most texts may have no such anchor, and need not be dealt out to find that
+    edges = _marked(rows, near).join(near, ["doc", "key"]).mapInArrow(_edge_rows, "e long, nodes long, doc long, key long, pos int")
     paths = settle(_paths(settle(_repeated(edges))))  # unnamed steps, so that their shuffles and the edges' checkpoint can go
     on_path = skew_join(edges.select("e", "doc", "key", "pos"), paths, ["e"], [F.col("doc")]).where("doc > sdoc")
     on_path = on_path.withColumn("shift", F.col("pos") - F.col("spos"))
