@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stopover.functions.geo import LINE, line_interpolate, line_length_m
 from stopover.operators import graph, network, reach
+from stopover.plans import reach_queries
 
 
 def _line(x, y):
@@ -76,3 +77,10 @@ def test_stations_and_lines_of_two_points_are_compiled(spark):
     two = platforms.select("line", F.concat("line", F.slice("line", 2, 1)).alias("three"))
     row = two.select(*[f(F.col(c)).alias(f"{c}{i}") for i, f in enumerate((line_length_m, lambda x: line_interpolate(x, 0.5))) for c in ("line", "three")]).collect()
     assert all(r["line0"] == r["three0"] and r["line1"] == r["three1"] for r in row)
+
+
+def test_isochrones_have_all_their_bands(spark, tmp_path):
+    spark.sql("select id as s_suppkey, id % 3 as s_nationkey from range(1, 4)").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql("select id % 3 + 1 as l_suppkey, id as l_partkey from range(30)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["band_min"]: r["station_count"] for r in reach_queries.QUERIES["isochrone_bands"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [15.0, 30.0, 45.0, 60.0] and got[15.0] >= 1 and got[60.0] > got[15.0]
